@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licences, rules, tokens, warc
+from . import automata, bpe, decontaminate, licences, rules, suffix_array, tokens, warc
 from ._spark import table
 
 
@@ -21,6 +21,10 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(suffix_array.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return rules.judge(documents, rules.fit(documents, table(spark, sf_dir, "labels")))
@@ -38,6 +42,10 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_count, op4_quality_rules, op5_byte_bpe, op7_decontamination, op9_arc_to_warc)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digest(automata.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_suffix_array_dedup, op4_quality_rules, op5_byte_bpe, op7_decontamination, op9_arc_to_warc, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
