@@ -8,7 +8,7 @@ components are verified exactly, all pairs of compatible size in blocks, so that
 are made up for.
 
 Scale: labels are some 200 bytes a class.  Only the texts of classes with candidates are read again.  A component of any
-size is dealt into cells of at most 2 * BLOCK classes, by size of set first: sets of which one is less than `threshold` times
+size is dealt into cells of about 2 * BLOCK classes and 2 * BLOCK_RUNS runs at most, by size of set first: sets of which one is less than `threshold` times
 as large as the other never meet.  A cell gives one row for each class: its links there and one neighbour in a spanning forest.
 """
 
@@ -32,7 +32,10 @@ TREES = 24
 DEPTH = 8
 RECALL = 0.999
 BLOCK = 400
+BLOCK_RUNS = 200_000
 _COLUMNS = 2048
+#: Edges that one task may finish.
+FEW_EDGES = 200_000
 
 
 def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -131,9 +134,9 @@ def join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     classes = cut(labelled_.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels")))
     leaves = classes.select("class", F.posexplode("labels").alias("tree", "label"))
     tries = leaves.groupBy("tree", "label").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1").select("tree", "label", "first")
-    near = components(leaves.join(tries, ["tree", "label"]).select(F.col("class").alias("a"), F.col("first").alias("b")))
+    near = components(leaves.join(tries, ["tree", "label"]).select(F.col("class").alias("a"), F.col("first").alias("b")), FEW_EDGES)
     similar = verify(rows, classes, cut(near.select(F.col("node").alias("class"), "component")), n, threshold)
-    linked = components(similar.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    linked = components(similar.select(F.col("class").alias("a"), F.col("root").alias("b")), FEW_EDGES)
     links = similar.groupBy("class").agg(F.sum("links").alias("links"))
     grouped = classes.select("class", "first_id", "copies").join(linked.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("group_id"))
@@ -146,10 +149,10 @@ def verify(rows: DataFrame, classes: DataFrame, near: DataFrame, n: int, thresho
     """class, links and root of the classes of each cell of a component; a link is in exactly one cell."""
     # sets whose sizes are one step apart at most can be similar: a step is one over the threshold
     members = near.join(classes.select("class", "key", "size"), "class").withColumn("step", F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int"))
-    crowd = members.groupBy("component", "step").agg(F.count("*").alias("n"))
-    whole = members.groupBy("component").agg(F.count("*").alias("all"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    crowd = cut(crowd.join(whole, "component").select("component", F.when(F.col("all") <= BLOCK, F.lit(-1)).otherwise(F.col("step")).alias("at"), "step", F.when(F.col("all") <= BLOCK, F.lit(1)).otherwise(blocks).alias("blocks")))
+    count = lambda name: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_RUNS)).cast("int").alias(name)
+    crowd = members.groupBy("component", "step").agg(count("blocks"))
+    whole = members.groupBy("component").agg(count("all"))
+    crowd = cut(crowd.join(whole, "component").select("component", F.when(F.col("all") == 1, F.lit(-1)).otherwise(F.col("step")).alias("at"), "step", F.when(F.col("all") == 1, F.lit(1)).otherwise(F.col("blocks")).alias("blocks")))
     beside = lambda by, name: crowd.where("at >= 0").select("component", (F.col("step") + by).alias("step"), F.col("blocks").alias(name))
     placed = members.join(crowd, ["component", "step"]).join(beside(-1, "above"), ["component", "step"], "left").join(beside(1, "below"), ["component", "step"], "left")
     own = F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int")
