@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, bpe, decontaminate, licences, ngram_join, rules, suffix_array, tokens, warc
+from . import automata, bpe, decontaminate, licences, lines, ngram_join, rules, suffix_array, tokens, warc
 from ._spark import table
 
 
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -50,6 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.digest(automata.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_suffix_array_dedup, op4_quality_rules, op5_byte_bpe, op7_decontamination, op8_ngram_join, op9_arc_to_warc, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_suffix_array_dedup, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_decontamination, op8_ngram_join, op9_arc_to_warc, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
