@@ -1,4 +1,235 @@
-"""Queries over matrices and graphs that are derived from the driver's tables."""
+"""Queries over matrices and graphs that stand in the driver's tables, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reachspan.functions import ranges as R
+from reachspan.operators import algebra as A
+from reachspan.operators import dindex as D
+from reachspan.operators import graph as G
+from reachspan.plans import derived
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_EVENTS = """
+nxt AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t FROM events),
+a AS (SELECT event_id AS "row", u AS col FROM nxt WHERE u IS NOT NULL UNION SELECT event_id, t FROM nxt WHERE t IS NOT NULL),
+ids AS (SELECT event_id AS i FROM events)"""
+_WALK = """
+walk AS (SELECT i, i AS j, 0 AS k FROM ids UNION SELECT w.i, a.col, w.k + 1 FROM walk w JOIN a ON a."row" = w.j WHERE w.k < {steps})"""
+_TURNS = """
+t AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS len, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations),
+n AS (SELECT conv_id, turn, len, rank, CAST(coalesce(sum(len) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, lead(rank) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM t),
+adj AS (SELECT "row", "row" + 1 AS col FROM (SELECT unnest(range(start, start + len - 1)) AS "row" FROM n) UNION SELECT x.start + x.len - 1, y.start FROM n x JOIN n y ON y.rank = x.nx)"""
+_CELLS = 'cells AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS "row", CAST(l_partkey AS BIGINT) AS col FROM lineitem)'
+
+
+def _islands(cells: str) -> str:
+    """Intervals of a relation of distinct cells."""
+    return f'SELECT "row", min(col) AS lo, max(col) AS hi FROM (SELECT "row", col, col - row_number() OVER (PARTITION BY "row" ORDER BY col) AS g FROM {cells}) GROUP BY "row", g'
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- graphs ----------------------------------------------------------------------------------------------------------
+
+
+@_query(f'WITH {_TURNS} SELECT CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col FROM adj')
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.adjacency_matrix(derived.conversations_graph(spark, sf_dir)).df
+
+
+@_query(f"WITH {_TURNS} {_islands('adj')}")
+def adjacency_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.range_adjacency_matrix(derived.conversations_graph(spark, sf_dir)).df
+
+
+@_query(f'WITH {_TURNS} SELECT CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, 1 AS value FROM adj')
+def adjacency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.adjacency_values(derived.conversations_graph(spark, sf_dir))
+
+
+@_query(f"WITH {_TURNS} SELECT rank, CAST(len AS BIGINT) AS len, start FROM n")
+def locus_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.locus_offsets(derived.conversations_graph(spark, sf_dir)).select("rank", "len", "start")
+
+
+@_query(f"WITH {_TURNS} SELECT rank FROM n WHERE turn = (SELECT min(m.turn) FROM n m WHERE m.conv_id = n.conv_id)")
+def start_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.start_nodes(derived.conversations_graph(spark, sf_dir)).select("rank")
+
+
+@_query(f"WITH {_TURNS}, c AS (SELECT conv_id, min(rank) AS lower FROM n GROUP BY conv_id) SELECT row_number() OVER (ORDER BY lower) AS component, lower, coalesce(lead(lower) OVER (ORDER BY lower), (SELECT max(rank) + 1 FROM n)) AS upper FROM c")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(derived.conversations_graph(spark, sf_dir))
+
+
+@_query(f"WITH {_TURNS} SELECT count(*) AS nodes, count(nx) AS edges, CAST(sum(len) AS BIGINT) AS loci, CAST(sum(len) - count(*) + count(nx) AS BIGINT) AS nnz FROM n")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    nodes, edges, loci = G.node_count(g), G.edge_count(g), G.total_loci(g)
+    return G.adjacency_matrix(g).df.agg(F.lit(nodes).cast("long").alias("nodes"), F.lit(edges).cast("long").alias("edges"), F.lit(loci).cast("long").alias("loci"), F.count("*").alias("nnz"))
+
+
+@_query(f"WITH {_TURNS}, c AS (SELECT conv_id, min(rank) AS lower, max(rank) + 1 AS upper FROM n GROUP BY conv_id) SELECT lower, upper FROM c WHERE conv_id = (SELECT max(conv_id) FROM n)")
+def region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    last = derived.table(spark, sf_dir, "conversations").agg(F.max("conv_id").alias("c")).first().c
+    return spark.createDataFrame([G.region_nodes_rank_range(g, path=str(last))], "lower long, upper long")
+
+
+# -- conversions and counts ------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_CELLS} {_islands('cells')}")
+def to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.orders_parts(spark, sf_dir).to_ranges().df
+
+
+@_query(f"WITH {_CELLS} SELECT * FROM cells")
+def to_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.orders_parts(spark, sf_dir).to_ranges().to_basic().df
+
+
+@_query(f"WITH {_CELLS} SELECT count(*) AS nnz FROM cells")
+def nnz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nnz(derived.orders_parts(spark, sf_dir).to_ranges())
+
+
+@_query(f'WITH {_TURNS}, r AS ({_islands("adj")}) SELECT count(*) AS ranges, CAST(sum(hi - lo + 1) AS BIGINT) AS nnz, CAST(max(greatest(abs(lo - "row"), abs(hi - "row"))) AS BIGINT) AS bandwidth FROM r')
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stats(G.adjacency_matrix(derived.conversations_graph(spark, sf_dir))).select("ranges", "nnz", "bandwidth")
+
+
+@_query(f'WITH {_CELLS} SELECT "row", min(col) AS first, max(col) AS last FROM cells GROUP BY "row"')
+def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.row_bands(derived.orders_parts(spark, sf_dir))
+
+
+@_query(f"""WITH {_CELLS}, r AS ({_islands("cells")}) SELECT "row", "row" || ': ' || string_agg('(' || lo || ', ' || hi || ')', ' ' ORDER BY lo) AS text FROM r GROUP BY "row" """)
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rendered(derived.orders_parts(spark, sf_dir))
+
+
+@_query(
+    f'WITH {_CELLS}, r AS (SELECT unnest(range((SELECT max("row") + 1 FROM cells))) AS "row"), c AS (SELECT r."row", count(cells.col) AS n FROM r LEFT JOIN cells ON cells."row" = r."row" GROUP BY 1) '
+    'SELECT "row", CAST(sum(n) OVER (ORDER BY "row") - n AS BIGINT) AS "begin", CAST(sum(n) OVER (ORDER BY "row") AS BIGINT) AS "end" FROM c'
+)
+def row_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.row_delimiters(derived.orders_parts(spark, sf_dir))
+
+
+# -- algebra ---------------------------------------------------------------------------------------------------------
+
+
+@_query('SELECT i AS "row", i AS lo, i AS hi FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)')
+def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.identity(spark, derived.table(spark, sf_dir, "events").count()).df
+
+
+@_query(f'WITH {_EVENTS}, s AS (SELECT * FROM a UNION SELECT i, i FROM ids) {_islands("s")}')
+def add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = derived.events_matrix(spark, sf_dir).to_ranges()
+    return A.add(a, A.identity(spark, a.nrows)).df
+
+
+@_query(f'WITH {_CELLS}, p AS (SELECT DISTINCT x."col" AS "row", y.col FROM cells x JOIN cells y ON x."row" = y."row") {_islands("p")}')
+def multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that some order holds together."""
+    m = derived.orders_parts(spark, sf_dir)
+    return A.multiply(derived.transposed(m).to_ranges(), m.to_ranges()).df
+
+
+def _walks(low: int, high: int) -> str:
+    return f'WITH RECURSIVE {_EVENTS}, {_WALK.format(steps=high)}, d AS (SELECT DISTINCT i AS "row", j AS col FROM walk WHERE k BETWEEN {low} AND {high}) '
+
+
+for _k in (0, 1, 2, 3, 5):
+
+    def _power(spark: SparkSession, sf_dir: str, k: int = _k) -> DataFrame:
+        return A.power(derived.events_matrix(spark, sf_dir).to_ranges(), k).df
+
+    _power.__name__ = f"power_{_k}"
+    _query(_walks(_k, _k) + _islands("d"))(_power)
+
+
+@_query(_walks(2, 4) + _islands("d"))
+def dindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: events within two to four steps."""
+    return D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 2, 4).df
+
+
+@_query(_walks(0, 3) + _islands("d"))
+def dindex_from_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 0, 3).df
+
+
+@_query(_walks(3, 3) + 'SELECT "row", col FROM d')
+def dindex_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.create_distance_index(derived.events_matrix(spark, sf_dir), 3, 3).df
+
+
+@_query(_walks(1, 3) + _islands("d"))
+def dindex_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.stepwise_index(derived.events_matrix(spark, sf_dir), 1, 3).df
+
+
+@_query(f'WITH RECURSIVE {_EVENTS}, {_WALK.format(steps=4)}, d AS (SELECT DISTINCT i AS "row", j AS col FROM walk WHERE k IN (1, 4)) {_islands("d")}')
+def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = derived.events_matrix(spark, sf_dir).to_ranges()
+    return A.merge(D.create_distance_index(a, 1, 1), D.create_distance_index(a, 4, 4)).df
+
+
+_CONVERSATION_INDEX = f"""WITH {_TURNS}, l AS (SELECT unnest(range(start, start + len)) AS x, conv_id, start, start + len - 1 AS stop FROM n), d AS (SELECT p.x AS "row", q.x AS col FROM l p JOIN l q ON q.conv_id = p.conv_id AND q.x - p.x BETWEEN 2 AND 12 {{only}}) """
+
+
+@_query(_CONVERSATION_INDEX.format(only="AND q.x > p.stop") + _islands("d"))
+def compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    return D.compress_distance_index(D.create_distance_index(G.range_adjacency_matrix(g), 2, 12), g).df
+
+
+@_query(f"WITH {_TURNS} {_islands('adj')}")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole adjacency put together from the ranks' two halves and what lies between them."""
+    g = derived.conversations_graph(spark, sf_dir)
+    parts = [(r.lower, r.upper) for r in G.components(g).agg(F.min("lower").alias("lower"), F.max("upper").alias("upper")).collect()]
+    lower, upper = parts[0]
+    middle = G.components(g).where(F.col("lower") >= (lower + upper) // 2).agg(F.min("lower").alias("m")).first().m or upper
+    first, second = G.range_adjacency_matrix(g, lower, middle), G.range_adjacency_matrix(g, middle, upper + 1)
+    whole = first.nrows + second.nrows
+    return A.from_blocks(whole, whole, [(second, first.nrows, first.ncols), (first, 0, 0)]).df
+
+
+_PAIRS = "pairs AS (SELECT event_id AS i, (event_id * 7 + 3) % (SELECT count(*) + 5 FROM events) AS j FROM events UNION ALL SELECT event_id, event_id + 40 FROM events)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = derived.table(spark, sf_dir, "events").select("event_id")
+    n = events.count()
+    i = F.col("event_id")
+    return events.select(i.alias("i"), ((i * 7 + 3) % (n + 5)).alias("j")).unionByName(events.select(i.alias("i"), (i + 40).alias("j")))
+
+
+@_query(_walks(1, 4) + f', {_PAIRS} SELECT i, j, EXISTS (SELECT 1 FROM d WHERE d."row" = i AND d.col = j) AS hit FROM pairs')
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 1, 4)
+    return D.query(index, _pairs(spark, sf_dir))
+
+
+@_query(_walks(1, 4) + f', {_PAIRS} SELECT i, j FROM pairs WHERE EXISTS (SELECT 1 FROM d WHERE d."row" = i AND d.col = j)')
+def lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 1, 4)
+    return D.hits(index, _pairs(spark, sf_dir))
