@@ -15,6 +15,7 @@ are sized from the corpus' bytes; nothing is collected but that bitmap and count
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,13 +25,20 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._segments import Segments
-from ._spark import cut
+from ._spark import cut, small_batches
 
 #: Bytes of text that one bucket stands for, and records that a task combines at once.
-BUCKET_BYTES = 16 << 20
-COMBINED = 1 << 21
+BUCKET_BYTES = 4 << 20
+COMBINED = 1 << 18
+BLOCK_BYTES = 1 << 20
 BITMAP_BITS = 1 << 24
 _LAST = (1 << 63) - 1
+try:  # large arrays go back to the system at once, so that workers stay as small as what they hold
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)
+    pa.set_memory_pool(pa.system_memory_pool())
+except (AttributeError, OSError):  # another C library
+    pass
+
 _DEALT = "bucket int, open boolean, data binary, keys array<long>"
 
 
@@ -153,6 +161,7 @@ class Repeats:
         Rows without id come after all others; documents with one id do not count for each other.
         """
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        small_batches(documents.sparkSession)
         did = F.coalesce(F.col("doc_id"), F.lit(_LAST))
         unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
         rows = rows.select(did.alias("key") if unique else F.xxhash64("doc_id", "text").alias("key"), "doc_id", did.alias("did"), "text")
@@ -166,12 +175,11 @@ class Repeats:
             def flush():
                 records, spans = me.combine({c: np.concatenate([h[c] for h in held]) for c in _RECORD})
                 bucket = ((records["anchor"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                at = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = [(b, True, pack(**_take(records, slice(at[b], at[b + 1]))), None) for b in range(buckets) if at[b] < at[b + 1]]
+                out = [(b, True, pack(**_take(records, which)), None) for b, which in _runs(bucket)]
                 yield _batch(out + deal(spans, buckets))
 
             for batch in batches:
-                for block in X.blocks(batch.column("text")):
+                for block in X.blocks(batch.column("text"), BLOCK_BYTES):
                     part = batch.slice(block.first, len(block))
                     held.append(me.records(block, part.column("did").to_numpy(), part.column("key").to_numpy()))
                     n += len(held[-1]["did"])
@@ -200,7 +208,7 @@ class Repeats:
             segments = unpack(right.column("data").to_pylist(), _OPEN)
             segments = _take(segments, np.argsort(segments["key"], kind="stable"))
             out = []
-            for block in X.blocks(left.column("text")):
+            for block in X.blocks(left.column("text"), BLOCK_BYTES):
                 key = left.column("key").slice(block.first, len(block)).to_numpy()
                 units, at = me.raw(block)
                 key, row = np.unique(key, return_index=True)
@@ -223,10 +231,9 @@ class Repeats:
                 size = windows - 1 + me.window
                 shard = (X.mix(s["anchor"]) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                for b in np.flatnonzero(np.diff(ends)):
-                    o = order[ends[b] : ends[b + 1]]
-                    out.append((int(b), True, pack(**_take(s, o)) + units[X.ragged(start[o], size[o])].tobytes(), None))
+                for b, which in _runs(shard[order]):
+                    o = order[which]
+                    out.append((b, True, pack(**_take(s, o)) + units[X.ragged(start[o], size[o])].tobytes(), None))
             return _table(out)
 
         def refined(table):
@@ -254,14 +261,14 @@ class Repeats:
             s = merge(s["key"], s["begin"].astype(np.int64), s["end"].astype(np.int64))
             out = []
             left = left.combine_chunks()
-            for block in X.blocks(left.column("text")):
+            for block in X.blocks(left.column("text"), BLOCK_BYTES):
                 part = left.slice(block.first, len(block))
                 out.append(result(part.column("doc_id").combine_chunks(), block, *_lists(s, part.column("key").to_numpy())))
             return pa.Table.from_batches(out or [result(pa.array([], pa.int64()), X.Block(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0), *[np.zeros(0, np.int64)] * 3)])
 
         def untouched(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                for block in X.blocks(batch.column("text")):
+                for block in X.blocks(batch.column("text"), BLOCK_BYTES):
                     yield result(batch.column("doc_id").slice(block.first, len(block)), block, *[np.zeros(0, np.int64)] * 3)
 
         bits = bitmap(spans)
@@ -313,9 +320,20 @@ def deal(columns: dict[str, np.ndarray], buckets: int, open_: bool = False) -> l
     """Rows of _DEALT, dealt by key."""
     bucket = columns["key"] % buckets
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    kinds = _OPEN if open_ else _SPAN
-    return [(int(b), open_, pack(**{c: columns[c][o].astype(k) for c, k in kinds.items()}), np.unique(columns["key"][o])) for b in np.flatnonzero(np.diff(at)) for o in (order[at[b] : at[b + 1]],)]
+    kinds, out = _OPEN if open_ else _SPAN, []
+    for b, which in _runs(bucket[order]):
+        o = order[which]
+        out.append((b, open_, pack(**{c: columns[c][o].astype(k) for c, k in kinds.items()}), np.unique(columns["key"][o])))
+    return out
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket of a sorted array, with its slice."""
+    if not len(bucket):
+        return
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(bucket)).tolist(), strict=True):
+        yield int(bucket[lo]), slice(lo, hi)
 
 
 _KINDS = [("bucket", pa.int32()), ("open", pa.bool_()), ("data", pa.binary()), ("keys", pa.list_(pa.int64()))]
