@@ -330,7 +330,7 @@ def test_components(spark, small):
 
 def test_lines(spark):
     rng = random.Random(11)
-    base = [" ".join(f"word{rng.randint(0, 900)}" for _ in range(rng.randint(12, 40))) for _ in range(30)]
+    base = [" ".join(f"word{rng.randint(0, 900)}" for _ in range(rng.randint(60, 90))) for _ in range(30)]
 
     def changed(line):
         words = line.split()
