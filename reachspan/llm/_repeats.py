@@ -28,9 +28,9 @@ from ._segments import Segments
 from ._spark import cut, small_batches
 
 #: Bytes of text that one bucket stands for, and records that a task combines at once.
-BUCKET_BYTES = 4 << 20
-COMBINED = 1 << 18
-BLOCK_BYTES = 1 << 20
+BUCKET_BYTES = 2 << 20
+COMBINED = 1 << 17
+BLOCK_BYTES = 1 << 19
 BITMAP_BITS = 1 << 24
 _LAST = (1 << 63) - 1
 try:  # large arrays go back to the system at once, so that workers stay as small as what they hold

@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     global _powers
     if len(_powers[0]) < n:
-        m = max(n, BLOCK_BYTES + 65536)
+        m = n + n // 8 + 65536
         up, down = np.full(m, _BASE, dtype=np.uint64), np.full(m, _UNBASE, dtype=np.uint64)
         up[0] = down[0] = 1
         _powers = np.cumprod(up), np.cumprod(down)
