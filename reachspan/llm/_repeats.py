@@ -15,7 +15,6 @@ are sized from the corpus' bytes; nothing is collected but that bitmap and count
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,17 +27,11 @@ from ._segments import Segments
 from ._spark import cut, small_batches
 
 #: Bytes of text that one bucket stands for, and records that a task combines at once.
-BUCKET_BYTES = 2 << 20
-COMBINED = 1 << 17
-BLOCK_BYTES = 1 << 19
+BUCKET_BYTES = 4 << 20
+COMBINED = 1 << 19
+BLOCK_BYTES = 1 << 20
 BITMAP_BITS = 1 << 24
 _LAST = (1 << 63) - 1
-try:  # large arrays go back to the system at once, so that workers stay as small as what they hold
-    ctypes.CDLL(None).mallopt(-3, 1 << 18)
-    pa.set_memory_pool(pa.system_memory_pool())
-except (AttributeError, OSError):  # another C library
-    pass
-
 _DEALT = "bucket int, open boolean, data binary, keys array<long>"
 
 
