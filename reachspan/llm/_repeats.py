@@ -32,7 +32,7 @@ COMBINED = 1 << 19
 BLOCK_BYTES = 1 << 20
 BITMAP_BITS = 1 << 24
 _LAST = (1 << 63) - 1
-_DEALT = "bucket int, open boolean, data binary, keys array<long>"
+_DEALT = "bucket int, open boolean, data binary, keys array<long>, units long"
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -146,6 +146,11 @@ class Repeats:
         size = np.unique(r["anchor"], return_inverse=True, return_counts=True) if len(r["anchor"]) else (None, np.zeros(0, int), np.zeros(0, int))
         return {**{c: r[c] for c in ("anchor", "did", "key", "begin", "windows")}, "hot": (size[2][size[1]] > self.at_once).astype(np.uint8)}
 
+    def sent_units(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        """Units that each open segment takes when it is sent, whole or by windows."""
+        windows = s["windows"].astype(np.int64)
+        return np.where(s["hot"] > 0, windows * self.window, windows - 1 + self.window)
+
     # -- the job -----------------------------------------------------------------------------------------------------
 
     def find(self, documents: DataFrame, result: Callable, schema: str) -> DataFrame:
@@ -167,8 +172,10 @@ class Repeats:
 
             def flush():
                 records, spans = me.combine({c: np.concatenate([h[c] for h in held]) for c in _RECORD})
-                bucket = ((records["anchor"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                out = [(b, True, pack(**_take(records, which)), None) for b, which in _runs(bucket)]
+                # anchors are minima, so most are small numbers: they are mixed before they are dealt
+                bucket = (X.mix(records["anchor"]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                out = [(b, True, pack(**_take(records, order[which])), None, None) for b, which in _runs(bucket[order])]
                 yield _batch(out + deal(spans, buckets))
 
             for batch in batches:
@@ -188,12 +195,13 @@ class Repeats:
             records, spans = me.combine(unpack([b for b, s in zip(blobs, ships, strict=True) if s], _RECORD))
             found = unpack([b for b, s in zip(blobs, ships, strict=True) if not s], _SPAN)
             spans = {c: np.concatenate([spans[c], found[c]]) for c in _SPAN}
-            return _table(deal(spans, buckets) + deal(me.open_segments(records), buckets, open_=True))
+            open_ = me.open_segments(records)
+            return _table(deal(spans, buckets) + deal(open_, buckets, me.sent_units(open_)))
 
         dealt = cut(rows.select("key", "did", "text").mapInArrow(shipped, _DEALT).groupBy("bucket").applyInArrow(decided, _DEALT))
         asked = concerned(rows, bitmap(dealt.where("open")))
-        n_open = dealt.where("open").agg(F.sum(F.size("keys")).alias("n")).first().n or 0
-        shards = max(1, -(-int(n_open) // self.at_once), buckets // 4)
+        sent = dealt.where("open").agg(F.sum("units").alias("n")).first().n or 0
+        shards = max(1, -(-int(sent) // (self.at_once * self.window)), buckets // 4)
 
         def fetched(left, right):
             if not right.num_rows:
@@ -221,20 +229,35 @@ class Repeats:
                     windows = s["windows"].astype(np.int64)
                     sums = X.prefix(me.units(block)[0])
                     s["anchor"][len(cold) :] = X.span_hash(sums, start[len(cold) :], start[len(cold) :] + me.window)
+                    # of equal windows only those of this block's smallest document go on
+                    order = np.lexsort((s["did"][len(cold) :], s["anchor"][len(cold) :])) + len(cold)
+                    low, _ = _extent(_group_ids(s["anchor"][order]), s["did"][order])
+                    later = order[s["did"][order] > low]
+                    if len(later):
+                        out.append((int(s["key"][later[0]] % shards), False, pack(**me.spans(_take(s, later))), None, None))
+                        on = np.ones(len(start), bool)
+                        on[later] = False
+                        s, start, windows = _take(s, on), start[on], windows[on]
                 size = windows - 1 + me.window
                 shard = (X.mix(s["anchor"]) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 for b, which in _runs(shard[order]):
                     o = order[which]
-                    out.append((b, True, pack(**_take(s, o)) + units[X.ragged(start[o], size[o])].tobytes(), None))
+                    out.append((b, True, pack(**_take(s, o)) + units[X.ragged(start[o], size[o])].tobytes(), None, None))
             return _table(out)
 
         def refined(table):
-            parts, units = [], []
-            for blob in table.column("data").to_pylist():
+            parts, units, whole = [], [], []
+            for blob, sent in zip(table.column("data").to_pylist(), table.column("open").to_pylist(), strict=True):
+                if not sent:
+                    whole.append(blob)
+                    continue
                 parts.append(unpack([blob], _SENT))
                 skip = 8 + len(parts[-1]["did"]) * sum(np.dtype(k).itemsize for k in _SENT.values())
                 units.append(np.frombuffer(blob, me.dtype, -1, skip))
+            known = unpack(whole, _SPAN)
+            if not parts:
+                return _table(deal(known, buckets))
             s = {c: np.concatenate([p[c] for p in parts]) for c in _SENT}
             windows = s["windows"].astype(np.int64)
             size = windows - 1 + me.window
@@ -243,7 +266,8 @@ class Repeats:
             places = np.flatnonzero(hit)
             row = np.searchsorted(at, places, side="right") - 1
             begin = s["begin"].astype(np.int64)[row] + places - at[row]
-            return _table(deal(merge(s["key"][row], begin, begin + me.window), buckets))
+            found = {"key": s["key"][row], "begin": begin, "end": begin + me.window}
+            return _table(deal(merge(*(np.concatenate([found[c], known[c].astype(np.int64)]) for c in _SPAN)), buckets))
 
         bucket = F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")
         fetched_ = asked.select("key", "text", bucket).groupBy("bucket").cogroup(dealt.where("open").groupBy("bucket")).applyInArrow(fetched, _DEALT)
@@ -259,15 +283,18 @@ class Repeats:
                 out.append(result(part.column("doc_id").combine_chunks(), block, *_lists(s, part.column("key").to_numpy())))
             return pa.Table.from_batches(out or [result(pa.array([], pa.int64()), X.Block(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0), *[np.zeros(0, np.int64)] * 3)])
 
+        bits = bitmap(spans)
+        shared = rows.sparkSession.sparkContext.broadcast(bits)
+
         def untouched(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
+            for batch in batches:  # the filter is here too, so that a task has one Python worker
+                batch = _passed(batch, shared.value, False)
                 for block in X.blocks(batch.column("text"), BLOCK_BYTES):
                     yield result(batch.column("doc_id").slice(block.first, len(block)), block, *[np.zeros(0, np.int64)] * 3)
 
-        bits = bitmap(spans)
         touched = concerned(rows, bits).select("key", "doc_id", "text", bucket)
         done = touched.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cleaned, schema)
-        return done.unionByName(concerned(rows, bits, False).select("key", "doc_id", "text").mapInArrow(untouched, schema))
+        return done.unionByName(_with_bit(rows).select("bit", "doc_id", "text").mapInArrow(untouched, schema))
 
 
 def bitmap(dealt: DataFrame) -> np.ndarray:
@@ -280,19 +307,27 @@ def bitmap(dealt: DataFrame) -> np.ndarray:
     return marks
 
 
-def concerned(rows: DataFrame, marks: np.ndarray, wanted: bool = True) -> DataFrame:
-    """Rows whose keys are marked, or are not: some others may be marked, none is missed."""
+def concerned(rows: DataFrame, marks: np.ndarray) -> DataFrame:
+    """Rows whose keys are marked: some others may be, none is missed."""
     shared = rows.sparkSession.sparkContext.broadcast(marks)
 
     def passed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            yield batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1 > 0) == wanted))
+            yield _passed(batch, shared.value, True)
 
-    marked = rows.withColumn("bit", F.xxhash64("key").bitwiseAND(F.lit(BITMAP_BITS - 1)))
+    marked = _with_bit(rows)
     return marked.mapInArrow(passed, marked.schema).drop("bit")
 
 
+def _with_bit(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bit", F.xxhash64("key").bitwiseAND(F.lit(BITMAP_BITS - 1)))
+
+
+def _passed(batch: pa.RecordBatch, marks: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    bit = batch.column("bit").to_numpy()
+    return batch.filter(pa.array((marks[bit >> 3] >> (bit & 7) & 1 > 0) == wanted))
+
+
 def merge(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
     """Overlapping or touching spans of a key become one; sorted by key and begin."""
     order = np.lexsort((begin, key))
@@ -309,14 +344,14 @@ def merge(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[str, np.n
     return {"key": key[starts], "begin": begin[starts].astype(np.uint32), "end": (reach[last] - lift[last]).astype(np.uint32)}
 
 
-def deal(columns: dict[str, np.ndarray], buckets: int, open_: bool = False) -> list[tuple]:
-    """Rows of _DEALT, dealt by key."""
+def deal(columns: dict[str, np.ndarray], buckets: int, sent: np.ndarray | None = None) -> list[tuple]:
+    """Rows of _DEALT, dealt by key; with the units that each open segment takes, these are open segments, else spans."""
     bucket = columns["key"] % buckets
     order = np.argsort(bucket, kind="stable")
-    kinds, out = _OPEN if open_ else _SPAN, []
+    kinds, out = _SPAN if sent is None else _OPEN, []
     for b, which in _runs(bucket[order]):
         o = order[which]
-        out.append((b, open_, pack(**{c: columns[c][o].astype(k) for c, k in kinds.items()}), np.unique(columns["key"][o])))
+        out.append((b, sent is not None, pack(**{c: columns[c][o].astype(k) for c, k in kinds.items()}), np.unique(columns["key"][o]), None if sent is None else int(sent[o].sum())))
     return out
 
 
@@ -329,7 +364,7 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[lo]), slice(lo, hi)
 
 
-_KINDS = [("bucket", pa.int32()), ("open", pa.bool_()), ("data", pa.binary()), ("keys", pa.list_(pa.int64()))]
+_KINDS = [("bucket", pa.int32()), ("open", pa.bool_()), ("data", pa.binary()), ("keys", pa.list_(pa.int64())), ("units", pa.int64())]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
