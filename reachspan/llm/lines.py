@@ -1,32 +1,35 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines of the whole corpus that hold a word are brought together by their hash; equal lines are one from the first
-aggregation on.  A signature of BANDS * ROWS minima is taken over the character shingles that begin at words: shingles are
-exploded and reduced by generated code, before the shuffle.  In each band the lines of one bucket are compared to one of them, another
-one in each band, by the exact Jaccard similarity of all character shingles; those that differ from it are dealt anew in
-the next round, by one minimum more, until none is left or all minima are used: buckets shrink to lines alike.  Verified links are joined by distributed union-find, and of each component the first
-line (smallest doc_id, then place) stays.
-
-Scale: no bucket is expanded into pairs; a round makes one pair for each line and band at most.  Texts meet only where a bitmap of
+aggregation on.  A signature of BANDS * ROWS minima is taken over all character shingles, the ones that are compared: they are
+exploded and reduced by generated code, before the shuffle.  Lines that share a band are candidates, and every candidate pair
+is decided: it is verified by the exact Jaccard similarity of all shingles, or its lines are linked by others, or bitmaps of the
+shingles, whose differing bits are never more than the shingles that differ, tell that it is below the threshold.
+Each bucket is compared with one head first, crowded ones with a few more, so that lines alike become one group;
+then all lines outside the head's group meet all of the bucket, in cells of bounded size.  Verified links are joined by
+distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
+
+Scale: pairs within a cell are rows only if the bitmaps cannot tell them apart.  Texts meet only where a bitmap of
 fixed size says that a line or document is concerned.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._spark import cut
+from ._spark import checkpoint_dir, cut
 
 BANDS, ROWS = 6, 3
-#: Minima that two lines share at least; fewer are under one in 10,000 for lines whose signed shingles are similar by 0.7.
-AGREED = 5
 THRESHOLD = 0.8
-#: Characters of a signature's shingles and of those compared.
-SIGNED, COMPARED = 12, 8
+#: Characters of a shingle.
+COMPARED = 8
+#: Longs of a line's bitmap of shingles, lines of a bucket on one side of a cell, lines outside the head's group that call for another head, and how often.
+BITMAP, CELL, CROWD, HEADS = 4, 2000, 200, 1
 _WORD = r"[^\x20\x09-\x0D]"
-_WORD_SQL = _WORD.replace("\\", "\\\\")
 _BITS = 1 << 24
 _LAST = (1 << 63) - 1
 
@@ -45,9 +48,14 @@ def _marked(rows: DataFrame, column: str, marks: DataFrame, wanted: bool = True)
     return joined.where(hit if wanted else ~hit).drop("_word", "_bits")
 
 
+def _runs(line: str) -> Column:
+    """All runs of COMPARED characters."""
+    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{COMPARED}}}))', 1)")
+
+
 def _shingles(line: str) -> Column:
     """Hashes of all runs of COMPARED characters; of the whole line if it is shorter."""
-    runs = F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{COMPARED}}}))', 1)")
+    runs = _runs(line)
     return F.array_distinct(F.transform(F.when(F.size(runs) > 0, runs).otherwise(F.array(F.col(line))), lambda s: F.xxhash64(s)))
 
 
@@ -57,6 +65,73 @@ def _jaccard(x: str, y: str) -> Column:
     return F.when(F.col(x).isNotNull(), both / (F.size(x) + F.size(y) - both))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """As cut, but sizes are estimated anew: those that checkpoints hand on are multiplied by every join and grow beyond use over rounds."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _near(threshold: float) -> Column:
+    """Whether bitmaps leave it open that lines x and y are similar: similar sets differ by a bounded share of their sizes."""
+    apart = sum((F.bit_count(F.col(f"x.b{j}").bitwiseXOR(F.col(f"y.b{j}"))) for j in range(BITMAP)), F.lit(0))
+    return apart <= (F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """Minima of each line's shingles, their number with repeats, and their bitmap; lines shorter than a shingle have equal ones only."""
+    hashed = lines.select("line_id", (F.length("line") - (COMPARED - 1)).alias("size"), F.explode(_runs("line")).alias("shingle")).select("line_id", "size", F.xxhash64("shingle").alias("hash"))
+    bit = "shiftleft(1L, cast(hash & 63 as int))"
+    bits = [F.expr(f"bit_or(if((shiftright(hash, 6) & {BITMAP - 1}) = {j}, {bit}, 0L))").alias(f"b{j}") for j in range(BITMAP)]
+    minima = [F.min(F.hash("hash", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    return hashed.groupBy("line_id").agg(F.max("size").alias("size"), *bits, *minima)
+
+
+def _links(lines: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between lines, by which all candidates that are similar are connected."""
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
+    leaves = signed.select("line_id", F.explode(bands).alias("band"))
+    crowds = leaves.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    members = _fresh(leaves.join(crowds, "band"))
+    facts = signed.select("line_id", "size", *(f"b{j}" for j in range(BITMAP)))
+
+    def verified(near: DataFrame) -> DataFrame:
+        near = _fresh(near)
+        ends = near.select(F.col("a").alias("line_id")).unionByName(near.select(F.col("b").alias("line_id"))).distinct()
+        pool = cut(_marked(lines.select("line_id", "line"), "line_id", _marks(ends)).join(ends, "line_id", "left_semi").dropDuplicates(["line_id"]))
+        compared = near.join(pool.toDF("a", "line"), "a").join(pool.toDF("b", "other"), "b")
+        # sets are columns of their own, so that each is made once
+        sets = compared.select("a", "b", _shingles("line").alias("x"), _shingles("other").alias("y"))
+        return _fresh(sets.where(_jaccard("x", "y") >= threshold).select("a", "b"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(facts.alias("x"), F.col("a") == F.col("x.line_id")).join(facts.alias("y"), F.col("b") == F.col("y.line_id")).where(_near(threshold)).select("a", "b")
+
+    found = [verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))]
+    members = members.where("n > 2").drop("n")
+    for turn in range(HEADS + 1):
+        nodes = _fresh(components(_union(found)))
+        placed = members.join(nodes.toDF("line_id", "group"), "line_id", "left").join(nodes.toDF("head", "head_group"), "head", "left")
+        placed = placed.select("line_id", "band", "head", F.coalesce("group", "line_id").alias("group"), F.coalesce("head_group", "head").alias("head_group")).withColumn("apart", F.col("group") != F.col("head_group"))
+        crowds = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("strays"), F.min(F.when(F.col("apart"), F.col("line_id"))).alias("next")).where("strays > 0")
+        members = _fresh(placed.join(crowds, "band"))
+        crowded = members.where(F.col("strays") > CROWD)
+        if turn == HEADS or crowded.isEmpty():
+            break
+        found.append(verified(bounded(crowded.where("line_id <> next").select(F.col("line_id").alias("a"), F.col("next").alias("b")))))
+        members = members.select("line_id", "band", "head")
+    # every line outside the head's group meets all lines of the bucket but the head, which it has met
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    sides = members.where("line_id <> head").select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = sides.where("apart").select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "part", "of"))
+    y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
+    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
+    pairs = x.alias("x").join(y.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
+    found.append(verified(pairs))
+    return _union(found)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """key, did, place and line of every line with a word, and its hash."""
     lines = rows.select("key", "did", F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -73,42 +148,10 @@ def dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = documents.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), did.alias("did"), text.alias("text"))
     lines = _lines(rows)
     firsts = lines.select("line_id", F.struct("did", "key", "place").alias("at")).groupBy("line_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    # a match is a word, and before it is read, the characters from its start on are taken
-    starts = F.expr(f"regexp_extract_all(line, '(?s)(?=({_WORD_SQL}.{{0,{SIGNED - 1}}})){_WORD_SQL}+', 1)")
-    hashed = lines.select("line_id", F.explode(starts).alias("shingle")).select("line_id", F.xxhash64("shingle").alias("hash"))
-    signed = hashed.groupBy("line_id").agg(*(F.min(F.hash("hash", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
-    signed = cut(signed.select("line_id", F.array(*(f"m{i}" for i in range(BANDS * ROWS))).alias("minima")))
-    bands = F.array(*(F.struct(F.lit(b).alias("b"), F.xxhash64(F.lit(b), *(F.col("minima")[b * ROWS + r] for r in range(ROWS))).alias("band")) for b in range(BANDS)))
-    leaves = signed.select("line_id", F.inline(bands))
-    # the head is the line whose id, mixed with the band, is smallest: another one in each band
-    crowded = lambda members: members.groupBy("band").agg(F.min(F.col("line_id").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("band", F.col("least").bitwiseXOR(F.col("band")).alias("head"))
-    waiting = cut(leaves.join(crowded(leaves), "band").where("line_id <> head"))
-    links, depth = [], ROWS
-    ends = waiting.select("line_id").unionByName(waiting.select(F.col("head").alias("line_id"))).distinct()
-    texts = _marked(lines.select("line_id", "line"), "line_id", _marks(ends)).dropDuplicates(["line_id"])
-    pool = cut(texts.join(ends, "line_id", "left_semi").join(signed, "line_id"))  # all lines that any round compares
-    heads = pool.select(*(F.col(c).alias(n) for c, n in (("line_id", "head"), ("line", "head_line"), ("minima", "head_minima"))))
-    agreed = sum(((F.col("minima")[i] == F.col("head_minima")[i]).cast("int") for i in range(BANDS * ROWS)), F.lit(0))
-    while not waiting.isEmpty():
-        compared = waiting.select("line_id", "head").distinct().join(pool, "line_id").join(heads, "head")
-        # sets are columns of their own, so that each is made once, and only for pairs that may be similar
-        sets = compared.select("line_id", "head", *(F.when(agreed >= AGREED, _shingles(c)).alias(n) for c, n in (("line", "x"), ("head_line", "y"))))
-        judged = cut(sets.select("line_id", "head", F.coalesce(_jaccard("x", "y") >= threshold, F.lit(False)).alias("similar")))
-        links.append(judged.where("similar").select(F.col("line_id").alias("a"), F.col("head").alias("b")))
-        depth += 1
-        if depth > BANDS * ROWS:
-            break
-        rest = waiting.join(judged.where("not similar").select("line_id", "head"), ["line_id", "head"], "left_semi")
-        more = F.xxhash64("band", F.col("minima")[(F.col("b") * ROWS + depth - 1) % (BANDS * ROWS)]).alias("band")
-        rest = cut(rest.join(pool, "line_id").select("line_id", "b", more))
-        waiting = cut(rest.join(crowded(rest), "band").where("line_id <> head"))
-    nodes = components(_union(links)) if links else None
+    nodes = components(_links(lines, cut(_signed(lines)), threshold))
     grouped = firsts.select("line_id", "first", (F.col("first") != F.col("last")).alias("again"))
-    if nodes is None:
-        heads = grouped.where("again").select("line_id", "first")
-    else:
-        grouped = grouped.join(nodes.select(F.col("node").alias("line_id"), "component"), "line_id", "left").where("again or component is not null").withColumn("component", F.coalesce("component", "line_id"))
-        heads = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("kept")), "component").select("line_id", F.col("kept").alias("first"))
+    grouped = grouped.join(nodes.select(F.col("node").alias("line_id"), "component"), "line_id", "left").where("again or component is not null").withColumn("component", F.coalesce("component", "line_id"))
+    heads = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("kept")), "component").select("line_id", F.col("kept").alias("first"))
     heads = cut(heads)
     places = _marked(lines.select("line_id", "key", "place"), "line_id", _marks(heads.select("line_id"))).join(heads, "line_id").where("key <> first.key or place <> first.place")
     removed = cut(places.groupBy("key").agg(F.collect_set("place").alias("_places")))
