@@ -363,6 +363,57 @@ def test_lines(spark):
     assert lines.dedup(documents.limit(0)).count() == 0
 
 
+def brute_lines(texts, threshold=0.8):
+    """Similar pairs, and the lines that go: all but the first of each component."""
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) and len(x & y) >= threshold * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if find(i) != i}
+
+
+def removed_lines(spark, texts):
+    out = lines.dedup(frame(spark, list(enumerate(texts))))
+    return {r.doc_id for r in out.where("_n_removed > 0").select("doc_id").collect()}
+
+
+def test_lines_without_spaces(spark):
+    rng = random.Random(21)
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
+    texts = []
+    for _ in range(60):
+        line = "".join(rng.choices(letters, k=150))
+        texts += [line, ("a" if line[0] != "a" else "b") + line[1:]]
+    want = brute_lines(texts)
+    assert len(want) == 60 and removed_lines(spark, texts) == want
+
+
+@pytest.mark.parametrize("cell", [2000, 50])
+def test_lines_crowded(spark, monkeypatch, cell):
+    monkeypatch.setattr(lines, "CELL", cell)
+    monkeypatch.setattr(lines, "CROWD", cell // 10)
+    rng = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for _ in range(400):
+        line = "https://www.example.org/archive/articles/of/the/year/" + "".join(rng.choices(letters, k=rng.randint(40, 60)))
+        texts += [line, line[:-1] + ("x" if line[-1] != "x" else "y")]
+    template = "The shop is open on all days of the week from nine to six, and on request also later; our number is "
+    texts += [template + "".join(rng.choices(letters, k=rng.randint(5, 40))) for _ in range(300)]
+    want = brute_lines(texts)
+    got = removed_lines(spark, texts)
+    assert len(want) > 400 and got <= want and len(want - got) <= 0.01 * len(want)
+
+
 # -- archives --------------------------------------------------------------------------------------------------------
 
 
