@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest.
+"""N-gram Jaccard self-join by MinHash banding.
 
-A document is the set of its runs of `n` words (one run of all words if it has fewer).  Each of TREES trees labels it with a
-sequence of MinHash values.  In a forest the prefix that two labels must share is not fixed: it is shortened from DEPTH
-until TREES trees find a pair at the threshold with the target recall.  Documents with equal sets are one class, and only
+A document is the set of its runs of `n` words (one run of all words if it has fewer).  Each of TREES trees labels it with one
+hash of a prefix of MinHash values.  The prefix has one length for all, the longest up to DEPTH by which TREES trees find a pair
+at the threshold with the target recall: this is banding, not a forest whose prefixes are shortened by the candidates found.  Documents with equal sets are one class, and only
 classes are compared.  Classes that share a prefix in some tree are candidates; candidates' connected
-components are verified exactly, all pairs of compatible size in blocks, so that chance misses of the forest inside a component
+components are verified exactly, all pairs of compatible size in blocks, so that chance misses of the bands inside a component
 are made up for.
 
 Scale: labels are some 200 bytes a class.  Only the texts of classes with candidates are read again.  A component of any
