@@ -113,7 +113,7 @@ class Repeats:
         has_left, has_right = s.place >= self.left, s.place - s.windows + 1 < self.left
         side = lambda begin, end, has: np.where(has, X.span_hash(s.sums, np.where(has, begin, 0), np.where(has, end, 0)).astype(np.uint8), 0).astype(np.uint8)
         return {
-            "anchor": s.anchor, "content": s.content & np.uint64((1 << 48) - 1), "did": did[s.row], "key": key[s.row], "begin": s.begin.astype(np.uint32), "windows": s.windows.astype(np.uint16),
+            "anchor": s.anchor, "content": s.content, "did": did[s.row], "key": key[s.row], "begin": s.begin.astype(np.uint32), "windows": s.windows.astype(np.uint16),
             "place": s.place.astype(np.uint16), "left": side(place - self.left, place, has_left), "right": side(place + self.k, place + self.k + self.right, has_right),
         }
 

@@ -158,6 +158,17 @@ def test_repeats(spark, monkeypatch, few):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
 
 
+def test_repeats_keep_whole_hashes():
+    rng = random.Random(23)
+    job = _repeats.Repeats(suffix_array._bytes, None, None, np.uint8, 50, 16, 1000)
+    block = next(X.blocks(pa.array(["".join(rng.choices("abcdefgh ", k=4000))])))
+    content = job.records(block, np.zeros(1, np.int64), np.zeros(1, np.int64))["content"]
+    assert len(content) > 20 and (content >> np.uint64(48)).any()
+    # two contents of one anchor that agree in 48 bits are not equal
+    two = {c: np.array([0, 0], k) for c, k in _repeats._RECORD.items()} | {"content": np.array([5, 5 + (1 << 48)], np.uint64), "did": np.array([1, 2]), "key": np.array([1, 2])}
+    assert len(job.combine(two)[0]["did"]) == 2
+
+
 def test_repeats_of_nothing(spark):
     none = frame(spark, ODD).limit(0)
     assert suffix_array.remove_repeats(none).count() == automata.remove_repeats(none).count() == 0
