@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines, n_chars as it is then; those of which no word is left are gone."""
-    out = lines.dedup(docs).drop("_n_lines", "_n_removed").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = lines.dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
 
 

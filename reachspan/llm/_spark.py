@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,8 @@ def keyed(documents: DataFrame, *more: str) -> DataFrame:
     Repeated rows share a key and so get the same result, whatever other columns the table has.
     """
     return documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def row_of(documents: DataFrame) -> Column:
+    """All columns as one struct named row, so that names inside an operator cannot clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in documents.columns)).alias("row")

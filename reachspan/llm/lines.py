@@ -1,75 +1,120 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines of the whole corpus that hold a word are brought together by their hash; equal lines are one from the first
-aggregation on.  A signature of BANDS * ROWS minima is taken over all character shingles, the ones that are compared: they are
-exploded and reduced by generated code, before the shuffle.  Lines that share a band are candidates, and every candidate pair
-is decided: it is verified by the exact Jaccard similarity of all shingles, or its lines are linked by others, or bitmaps of the
-shingles, whose differing bits are never more than the shingles that differ, tell that it is below the threshold.
-Each bucket is compared with one head first, crowded ones with a few more, so that lines alike become one group;
-then all lines outside the head's group meet all of the bucket, in cells of bounded size.  Verified links are joined by
-distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
-
-Scale: pairs within a cell are rows only if the bitmaps cannot tell them apart.  Texts meet only where a bitmap of
-fixed size says that a line or document is concerned.
+Lines of the whole corpus that hold a word are known by their hash; equal lines are one from the first aggregation on.  A line's
+shingles are its runs of SHINGLE characters: the line is encoded with four bytes a character, so that a shingle is a byte slice at a
+fixed place, and rows of places are exploded, hashed and reduced to MINIMA minima by generated code, before any shuffle.  The
+permutations of MinHash are exclusive-ors with constants of a hash that is random itself.  Bands are the twelve lines of the affine
+plane of nine points, so that nine minima give twelve bands of three, any two of which share one minimum at most.
+
+Lines that share a band are candidates, and every candidate pair is decided: it is verified by the exact Jaccard similarity of all
+shingles, or its lines are linked by others, or bitmaps of the shingles, whose differing bits are never more than the shingles that
+differ, tell that it is below the threshold.  Each bucket is compared with one head first, crowded ones with a few more, so that lines
+alike become one group; then all lines outside the head's group meet all of the bucket, in cells of bounded size.  Verified
+links are joined by distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
+
+Scale: a line costs three numbers and twelve short rows in shuffles; texts are read again only for lines in buckets of two and more, and
+for documents that lose a line, told by a bitmap that grows with their number.  Pairs within a cell are rows only if the bitmaps
+cannot tell them apart; the work in cells grows with the square of those lines of a bucket that are outside its heads' groups.
 """
 
 from __future__ import annotations
 
+import random
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._spark import checkpoint_dir, cut
+from ._spark import checkpoint_dir, row_of
 
-BANDS, ROWS = 6, 3
+#: Minima of a signature, and those of each band: the lines of the affine plane of order three.
+MINIMA = 9
+BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
 THRESHOLD = 0.8
-#: Characters of a shingle.
-COMPARED = 8
+#: Characters of a shingle, and shingles of a line that one generated row stands for at most.
+SHINGLE, STEP = 8, 4096
 #: Longs of a line's bitmap of shingles, lines of a bucket on one side of a cell, lines outside the head's group that call for another head, and how often.
-BITMAP, CELL, CROWD, HEADS = 4, 2000, 200, 1
+BITMAP, CELL, CROWD, HEADS = 16, 2000, 200, 1
+#: Pairs that a task compares, while there are not too many tasks.
+PAIRS = 500
 _WORD = r"[^\x20\x09-\x0D]"
-_BITS = 1 << 24
+#: Bits of a bitmap of keys for each key that it marks, and the most bits that are broadcast.
+_BITS_A_KEY, _MOST_BITS = 16, 1 << 27
 _LAST = (1 << 63) - 1
 
 
-def _marks(keys: DataFrame) -> DataFrame:
-    """Bitmap of one column of longs, as at most 2**18 rows of 64 bits."""
-    bit = F.xxhash64(keys.columns[0]).bitwiseAND(F.lit(_BITS - 1))
-    return keys.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({keys.columns[0]}) & 63 as int))")).alias("_bits"))
+def _constants() -> list[int]:
+    """Spread over all longs, so that the minima of a small set are different shingles' as far as can be."""
+    rng = random.Random(20240229)
+    return [int((i + rng.random()) * (1 << 64) / MINIMA) - (1 << 63) for i in range(MINIMA)]
 
 
-def _marked(rows: DataFrame, column: str, marks: DataFrame, wanted: bool = True) -> DataFrame:
-    """Rows that may be, or surely are not, among the marked keys; a broadcast of at most 2**18 short rows."""
-    bit = F.xxhash64(column).bitwiseAND(F.lit(_BITS - 1))
-    joined = rows.join(F.broadcast(marks), F.shiftright(bit, 6) == F.col("_word"), "left")
-    hit = F.coalesce(F.expr(f"shiftright(_bits, cast(xxhash64({column}) & 63 as int)) & 1") == 1, F.lit(False))
-    return joined.where(hit if wanted else ~hit).drop("_word", "_bits")
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and sizes are estimated anew."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class _Marks:
+    """Bitmap of one column of longs, as rows of 64 bits: 16 bits a key up to 2**27 bits, beyond which more of the others pass too."""
+
+    def __init__(self, keys: DataFrame):
+        column, n = keys.columns[0], keys.count()
+        self.bits = 1 << 10
+        while self.bits < min(_BITS_A_KEY * n, _MOST_BITS):
+            self.bits *= 2
+        self.rows = _written(keys.groupBy(self._word(column).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")).alias("_bits")))
+
+    def _word(self, column: str) -> Column:
+        return F.shiftright(F.xxhash64(column).bitwiseAND(F.lit(self.bits - 1)), 6)
+
+    def among(self, rows: DataFrame, column: str, wanted: bool = True) -> DataFrame:
+        """Rows that may be, or surely are not, among the marked keys; columns named _word and _bits must not be there."""
+        joined = rows.join(F.broadcast(self.rows), self._word(column) == F.col("_word"), "left")
+        hit = F.coalesce(F.expr(f"shiftright(_bits, cast(xxhash64({column}) & 63 as int)) & 1") == 1, F.lit(False))
+        return joined.where(hit if wanted else ~hit).drop("_word", "_bits")
 
 
-def _runs(line: str) -> Column:
-    """All runs of COMPARED characters."""
-    return F.expr(f"regexp_extract_all({line}, '(?s)(?=(.{{{COMPARED}}}))', 1)")
+def _coded(lines: DataFrame) -> DataFrame:
+    """line_id and code, the line with four bytes a character."""
+    return lines.select("line_id", F.encode("line", "UTF-32").alias("code"))
 
 
-def _shingles(line: str) -> Column:
-    """Hashes of all runs of COMPARED characters; of the whole line if it is shorter."""
-    runs = _runs(line)
-    return F.array_distinct(F.transform(F.when(F.size(runs) > 0, runs).otherwise(F.array(F.col(line))), lambda s: F.xxhash64(s)))
+def _hashes(coded: DataFrame) -> DataFrame:
+    """line_id, end (byte place of the last shingle) and hash of every shingle of lines that have one."""
+    # places are bytes from one
+    coded = coded.select("line_id", "code", (F.octet_length("code") - (4 * SHINGLE - 1)).alias("end")).where("end > 0")
+    steps = coded.select("line_id", "end", "code", F.explode(F.sequence(F.lit(1), F.col("end"), F.lit(4 * STEP))).alias("first"))
+    places = steps.select("line_id", "end", "code", F.explode(F.sequence("first", F.least(F.col("first") + 4 * (STEP - 1), F.col("end")), F.lit(4))).alias("place"))
+    return places.select("line_id", "end", F.xxhash64(F.expr(f"substring(code, place, {4 * SHINGLE})")).alias("hash"))
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    """line_id and band, a hash of three minima, twelve of each line; lines shorter than a shingle have none, as only equal ones are like them."""
+    minima = [F.min(F.col("hash").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants())]
+    signed = _hashes(_coded(lines)).groupBy("line_id").agg(*minima)
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in band)) for b, band in enumerate(BANDS)))
+    return signed.select("line_id", F.explode(bands).alias("band"))
+
+
+def _facts(coded: DataFrame) -> DataFrame:
+    """line_id, size (number of shingles with repeats) and the bitmap of its shingles."""
+    bits = [F.expr(f"bit_or(if((shiftright(hash, 6) & {BITMAP - 1}) = {j}, shiftleft(1L, cast(hash & 63 as int)), 0L))").alias(f"b{j}") for j in range(BITMAP)]
+    return _hashes(coded).groupBy("line_id").agg(((F.max("end") + 3) / 4).cast("long").alias("size"), *bits)
+
+
+def _shingles(code: str) -> Column:
+    """Distinct hashes of a line's shingles; it has one at least.  The code is bound to a name, as it would else be copied for every shingle."""
+    hashes = f"transform(sequence(1, octet_length(c) - {4 * SHINGLE - 1}, 4), p -> xxhash64(substring(c, p, {4 * SHINGLE})))"
+    return F.expr(f"array_distinct(element_at(transform(array({code}), c -> {hashes}), 1))")
 
 
 def _jaccard(x: str, y: str) -> Column:
     """Similarity of two arrays without repeated values."""
     both = F.size(F.array_intersect(x, y))
-    return F.when(F.col(x).isNotNull(), both / (F.size(x) + F.size(y) - both))
-
-
-def _fresh(df: DataFrame) -> DataFrame:
-    """As cut, but sizes are estimated anew: those that checkpoints hand on are multiplied by every join and grow beyond use over rounds."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return both / (F.size(x) + F.size(y) - both)
 
 
 def _near(threshold: float) -> Column:
@@ -78,47 +123,40 @@ def _near(threshold: float) -> Column:
     return apart <= (F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Minima of each line's shingles, their number with repeats, and their bitmap; lines shorter than a shingle have equal ones only."""
-    hashed = lines.select("line_id", (F.length("line") - (COMPARED - 1)).alias("size"), F.explode(_runs("line")).alias("shingle")).select("line_id", "size", F.xxhash64("shingle").alias("hash"))
-    bit = "shiftleft(1L, cast(hash & 63 as int))"
-    bits = [F.expr(f"bit_or(if((shiftright(hash, 6) & {BITMAP - 1}) = {j}, {bit}, 0L))").alias(f"b{j}") for j in range(BITMAP)]
-    minima = [F.min(F.hash("hash", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    return hashed.groupBy("line_id").agg(F.max("size").alias("size"), *bits, *minima)
-
-
-def _links(lines: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _links(lines: DataFrame, threshold: float) -> DataFrame:
     """Links a, b between lines, by which all candidates that are similar are connected."""
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    leaves = signed.select("line_id", F.explode(bands).alias("band"))
+    leaves = _bands(lines.select("line_id", "line"))
     crowds = leaves.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = _fresh(leaves.join(crowds, "band"))
-    facts = signed.select("line_id", "size", *(f"b{j}" for j in range(BITMAP)))
-
-    def verified(near: DataFrame) -> DataFrame:
-        near = _fresh(near)
-        ends = near.select(F.col("a").alias("line_id")).unionByName(near.select(F.col("b").alias("line_id"))).distinct()
-        pool = cut(_marked(lines.select("line_id", "line"), "line_id", _marks(ends)).join(ends, "line_id", "left_semi").dropDuplicates(["line_id"]))
-        compared = near.join(pool.toDF("a", "line"), "a").join(pool.toDF("b", "other"), "b")
+    members = _written(leaves.join(crowds, "band"))
+    known = members.select("line_id").distinct()
+    # texts of candidates, once each; codes are written, as they would else be made anew for every shingle
+    pool = _written(_coded(_Marks(known).among(lines.select("line_id", "line"), "line_id").join(known, "line_id", "left_semi").dropDuplicates(["line_id"])))
+    facts = _written(_facts(pool))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # few bytes make much work here, so the number of tasks goes by the pairs
+        tasks = min(max(1, pairs.count() // PAIRS), 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        compared = pairs.join(pool.toDF("a", "x"), "a").repartition(tasks, "b").join(pool.toDF("b", "y").repartition(tasks, "b"), "b")
         # sets are columns of their own, so that each is made once
-        sets = compared.select("a", "b", _shingles("line").alias("x"), _shingles("other").alias("y"))
-        return _fresh(sets.where(_jaccard("x", "y") >= threshold).select("a", "b"))
+        sets = compared.select("a", "b", _shingles("x").alias("x"), _shingles("y").alias("y"))
+        return _written(sets.where(_jaccard("x", "y") >= threshold).select("a", "b"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(facts.alias("x"), F.col("a") == F.col("x.line_id")).join(facts.alias("y"), F.col("b") == F.col("y.line_id")).where(_near(threshold)).select("a", "b")
+        met = pairs.distinct().join(facts.alias("x"), F.col("a") == F.col("x.line_id")).join(facts.alias("y"), F.col("b") == F.col("y.line_id"))
+        return _written(met.where(_near(threshold)).select("a", "b"))
 
-    found = [verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))]
+    found = verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))
     members = members.where("n > 2").drop("n")
     for turn in range(HEADS + 1):
-        nodes = _fresh(components(_union(found)))
+        nodes = components(found)
         placed = members.join(nodes.toDF("line_id", "group"), "line_id", "left").join(nodes.toDF("head", "head_group"), "head", "left")
         placed = placed.select("line_id", "band", "head", F.coalesce("group", "line_id").alias("group"), F.coalesce("head_group", "head").alias("head_group")).withColumn("apart", F.col("group") != F.col("head_group"))
         crowds = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("strays"), F.min(F.when(F.col("apart"), F.col("line_id"))).alias("next")).where("strays > 0")
-        members = _fresh(placed.join(crowds, "band"))
+        members = _written(placed.join(crowds, "band"))
         crowded = members.where(F.col("strays") > CROWD)
         if turn == HEADS or crowded.isEmpty():
             break
-        found.append(verified(bounded(crowded.where("line_id <> next").select(F.col("line_id").alias("a"), F.col("next").alias("b")))))
+        found = found.unionByName(verified(bounded(crowded.where("line_id <> next").select(F.col("line_id").alias("a"), F.col("next").alias("b")))))
         members = members.select("line_id", "band", "head")
     # every line outside the head's group meets all lines of the bucket but the head, which it has met
     parts = F.ceil(F.col("n") / CELL).cast("int")
@@ -128,52 +166,66 @@ def _links(lines: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
     met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
     pairs = x.alias("x").join(y.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
-    found.append(verified(pairs))
-    return _union(found)
+    return found.unionByName(verified(_written(pairs)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """key, did, place and line of every line with a word, and its hash."""
+    """key, did, place, line and its hash of every line with a word."""
     lines = rows.select("key", "did", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.where(F.col("line").rlike(_WORD)).withColumn("line_id", F.xxhash64("line"))
 
 
+def _removed(rows: DataFrame, threshold: float) -> DataFrame:
+    """key and the places of lines that go, of each document that loses any."""
+    lines = _lines(rows)
+    firsts = lines.groupBy("line_id").agg(F.min("did").alias("did"), (F.count("*") > 1).alias("again"))
+    nodes = components(_links(lines, threshold)).select(F.col("node").alias("line_id"), "component")
+    grouped = firsts.join(nodes, "line_id", "left").where("again or component is not null").select("line_id", "did", F.coalesce("component", "line_id").alias("component"))
+    kept = grouped.groupBy("component").agg(F.min("did").alias("kept"))
+    heads = _written(grouped.select("line_id", "component").join(kept, "component"))
+    shared = _Marks(heads.select("line_id")).among(lines.select("line_id", "key", "did", "place"), "line_id").join(heads, "line_id")
+    shared = _written(shared.select("key", "place", "component", (F.col("did") == F.col("kept")).alias("tied")))
+    # within the first document, or rows of its id, the first place stays
+    tied = shared.where("tied")
+    stay = tied.groupBy("component").agg(F.min(F.struct("key", "place")).alias("stays"))
+    later = tied.join(stay, "component").where("key <> stays.key or place <> stays.place")
+    return _written(shared.where("not tied").select("key", "place").unionByName(later.select("key", "place")).groupBy("key").agg(F.collect_set("place").alias("places")))
+
+
+def _deduped(documents: DataFrame, threshold: float) -> DataFrame:
+    """row (all columns of documents, text without the lines that go), n_removed."""
+    text, did = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    key = F.xxhash64(F.col("doc_id").cast("long"), text)
+    removed = _removed(documents.select(key.alias("key"), did.alias("did"), text.alias("text")), threshold)
+    marks = _Marks(removed.select("key"))
+    rows = documents.select(key.alias("key"), row_of(documents))
+    hit = marks.among(rows, "key").join(removed, "key", "left")
+    own = F.split("row.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("places"))
+    shorter = F.col("row").withField("text", F.array_join(F.transform(left, lambda i: own[i]), "\n"))
+    hit = hit.select(F.when(F.col("places").isNull(), F.col("row")).otherwise(shorter).alias("row"), F.coalesce(F.array_size("places"), F.lit(0)).cast("long").alias("n_removed"))
+    return hit.unionByName(marks.among(rows, "key", False).select("row", F.lit(0).cast("long").alias("n_removed")))
+
+
 def dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of documents as they are, but text without the lines that go; also _n_lines and _n_removed.
+    """All columns of documents as they are, whatever their names, but text without the lines that go.
 
     Lines without a word stay and do not count.  Null and empty texts stay as they are.  Rows with equal id and text are one document and
-    have equal results; rows without id come after all others.  The last line end goes with a last line that goes.
+    have equal results; rows without id come after all others, and of rows with one id that with the smallest hash comes first.  The
+    last line end goes with a last line that goes.  Texts and lines may be of any length: a line's shingles are made in steps of STEP.
+    An empty table gives an empty one.
     """
-    text, did = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    rows = documents.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), did.alias("did"), text.alias("text"))
-    lines = _lines(rows)
-    firsts = lines.select("line_id", F.struct("did", "key", "place").alias("at")).groupBy("line_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    nodes = components(_links(lines, cut(_signed(lines)), threshold))
-    grouped = firsts.select("line_id", "first", (F.col("first") != F.col("last")).alias("again"))
-    grouped = grouped.join(nodes.select(F.col("node").alias("line_id"), "component"), "line_id", "left").where("again or component is not null").withColumn("component", F.coalesce("component", "line_id"))
-    heads = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("kept")), "component").select("line_id", F.col("kept").alias("first"))
-    heads = cut(heads)
-    places = _marked(lines.select("line_id", "key", "place"), "line_id", _marks(heads.select("line_id"))).join(heads, "line_id").where("key <> first.key or place <> first.place")
-    removed = cut(places.groupBy("key").agg(F.collect_set("place").alias("_places")))
-    marks = cut(_marks(removed.select("key")))
-    kept = documents.withColumn("_line_key", F.xxhash64(F.col("doc_id").cast("long"), text))
-    hit = _marked(kept, "_line_key", marks).join(removed.withColumnRenamed("key", "_line_key"), "_line_key", "left")
-    own = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_places"))
-    gone = F.coalesce(F.size("_places"), F.lit(0)).cast("long")
-    n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"[^\n]*{_WORD}[^\n]*")), F.lit(0)).cast("long")
-    hit = hit.withColumns({"_n_lines": n_lines, "_n_removed": F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(gone)}).withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: own[i]), "\n")))
-    plain = _marked(kept, "_line_key", marks, False).withColumns({"_n_lines": n_lines, "_n_removed": F.lit(0).cast("long")})
-    return hit.drop("_places", "_line_key").unionByName(plain.drop("_line_key"))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def digest(deduped: DataFrame) -> DataFrame:
+    return _deduped(documents, threshold).select("row.*")
+
+
+def report(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text as `dedup` leaves it, n_lines (with a word, before) and n_removed."""
+    n_removed = F.col("n_removed")
+    out = _deduped(documents.select("doc_id", "text"), threshold).select("row.doc_id", "row.text", n_removed)
+    left = F.coalesce(F.regexp_count("text", F.lit(rf"[^\n]*{_WORD}[^\n]*")), F.lit(0)).cast("long")
+    return out.select("doc_id", "text", (left + n_removed).alias("n_lines"), "n_removed")
+
+
+def digest(reported: DataFrame) -> DataFrame:
     """The rows of the query."""
-    return deduped.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+    return reported.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))

@@ -35,7 +35,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+    return lines.digest(lines.report(table(spark, sf_dir, "documents")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
