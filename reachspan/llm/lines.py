@@ -20,13 +20,12 @@ cannot tell them apart; the work in cells grows with the square of those lines o
 from __future__ import annotations
 
 import random
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._spark import checkpoint_dir, row_of
+from ._spark import row_of, written
 
 #: Minima of a signature, and those of each band: the lines of the affine plane of order three.
 MINIMA = 9
@@ -34,8 +33,9 @@ BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 THRESHOLD = 0.8
 #: Characters of a shingle, and shingles of a line that one generated row stands for at most.
 SHINGLE, STEP = 8, 4096
-#: Longs of a line's bitmap of shingles, lines of a bucket on one side of a cell, lines outside the head's group that call for another head, and how often.
-BITMAP, CELL, CROWD, HEADS = 16, 2000, 200, 1
+#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the head's group that call for another head, and how often.
+BITMAP, CELL, CROWD, HEADS = 32, 2000, 200, 1
+PART = 4
 #: Pairs that a task compares, while there are not too many tasks.
 PAIRS = 500
 _WORD = r"[^\x20\x09-\x0D]"
@@ -50,13 +50,6 @@ def _constants() -> list[int]:
     return [int((i + rng.random()) * (1 << 64) / MINIMA) - (1 << 63) for i in range(MINIMA)]
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and sizes are estimated anew."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class _Marks:
     """Bitmap of one column of longs, as rows of 64 bits: 16 bits a key up to 2**27 bits, beyond which more of the others pass too."""
 
@@ -65,7 +58,7 @@ class _Marks:
         self.bits = 1 << 10
         while self.bits < min(_BITS_A_KEY * n, _MOST_BITS):
             self.bits *= 2
-        self.rows = _written(keys.groupBy(self._word(column).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")).alias("_bits")))
+        self.rows = written(keys.groupBy(self._word(column).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")).alias("_bits")))
 
     def _word(self, column: str) -> Column:
         return F.shiftright(F.xxhash64(column).bitwiseAND(F.lit(self.bits - 1)), 6)
@@ -91,18 +84,26 @@ def _hashes(coded: DataFrame) -> DataFrame:
     return places.select("line_id", "end", F.xxhash64(F.expr(f"substring(code, place, {4 * SHINGLE})")).alias("hash"))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """line_id and band, a hash of three minima, twelve of each line; lines shorter than a shingle have none, as only equal ones are like them."""
-    minima = [F.min(F.col("hash").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants())]
-    signed = _hashes(_coded(lines)).groupBy("line_id").agg(*minima)
+def _signed(coded: DataFrame) -> DataFrame:
+    """line_id and its minima; lines shorter than a shingle have none, as only equal ones are like them."""
+    return _hashes(coded).groupBy("line_id").agg(*(F.min(F.col("hash").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants())))
+
+
+def _crowded(signed: DataFrame) -> DataFrame:
+    """line_id, band (a hash of three minima, twelve of each line), n and head of the bands that two lines and more share."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in band)) for b, band in enumerate(BANDS)))
-    return signed.select("line_id", F.explode(bands).alias("band"))
+    leaves = signed.select("line_id", F.explode(bands).alias("band"))
+    crowds = written(leaves.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    return _Marks(crowds.select("band")).among(leaves, "band").join(crowds, "band")
 
 
 def _facts(coded: DataFrame) -> DataFrame:
-    """line_id, size (number of shingles with repeats) and the bitmap of its shingles."""
-    bits = [F.expr(f"bit_or(if((shiftright(hash, 6) & {BITMAP - 1}) = {j}, shiftleft(1L, cast(hash & 63 as int)), 0L))").alias(f"b{j}") for j in range(BITMAP)]
-    return _hashes(coded).groupBy("line_id").agg(((F.max("end") + 3) / 4).cast("long").alias("size"), *bits)
+    """line_id, size (number of shingles with repeats) and the bitmap of its shingles, made in parts of PART longs."""
+    longs = [F.expr(f"bit_or(if((shiftright(hash, 6) & {PART - 1}) = {j}, shiftleft(1L, cast(hash & 63 as int)), 0L))").alias(f"l{j}") for j in range(PART)]
+    part = F.expr(f"cast(shiftright(hash, 16) & {BITMAP // PART - 1} as int)").alias("part")
+    parts = _hashes(coded.repartition("line_id")).groupBy("line_id", part).agg(F.max("end").alias("end"), *longs)
+    bits = [F.coalesce(F.max(F.when(F.col("part") == j // PART, F.col(f"l{j % PART}"))), F.lit(0).cast("long")).alias(f"b{j}") for j in range(BITMAP)]
+    return parts.groupBy("line_id").agg(((F.max("end") + 3) / 4).cast("long").alias("size"), *bits)
 
 
 def _shingles(code: str) -> Column:
@@ -113,8 +114,8 @@ def _shingles(code: str) -> Column:
 
 def _jaccard(x: str, y: str) -> Column:
     """Similarity of two arrays without repeated values."""
-    both = F.size(F.array_intersect(x, y))
-    return both / (F.size(x) + F.size(y) - both)
+    either = F.size(F.array_union(x, y))
+    return (F.size(x) + F.size(y) - either) / either
 
 
 def _near(threshold: float) -> Column:
@@ -125,13 +126,11 @@ def _near(threshold: float) -> Column:
 
 def _links(lines: DataFrame, threshold: float) -> DataFrame:
     """Links a, b between lines, by which all candidates that are similar are connected."""
-    leaves = _bands(lines.select("line_id", "line"))
-    crowds = leaves.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = _written(leaves.join(crowds, "band"))
+    members = written(_crowded(written(_signed(_coded(lines)))))
     known = members.select("line_id").distinct()
     # texts of candidates, once each; codes are written, as they would else be made anew for every shingle
-    pool = _written(_coded(_Marks(known).among(lines.select("line_id", "line"), "line_id").join(known, "line_id", "left_semi").dropDuplicates(["line_id"])))
-    facts = _written(_facts(pool))
+    pool = written(_coded(_Marks(known).among(lines.select("line_id", "line"), "line_id").join(known, "line_id", "left_semi").dropDuplicates(["line_id"])))
+    facts = written(_facts(pool))
 
     def verified(pairs: DataFrame) -> DataFrame:
         # few bytes make much work here, so the number of tasks goes by the pairs
@@ -139,20 +138,21 @@ def _links(lines: DataFrame, threshold: float) -> DataFrame:
         compared = pairs.join(pool.toDF("a", "x"), "a").repartition(tasks, "b").join(pool.toDF("b", "y").repartition(tasks, "b"), "b")
         # sets are columns of their own, so that each is made once
         sets = compared.select("a", "b", _shingles("x").alias("x"), _shingles("y").alias("y"))
-        return _written(sets.where(_jaccard("x", "y") >= threshold).select("a", "b"))
+        return written(sets.where(_jaccard("x", "y") >= threshold).select("a", "b"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
         met = pairs.distinct().join(facts.alias("x"), F.col("a") == F.col("x.line_id")).join(facts.alias("y"), F.col("b") == F.col("y.line_id"))
-        return _written(met.where(_near(threshold)).select("a", "b"))
+        return written(met.where(_near(threshold)).select("a", "b"))
 
     found = verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))
     members = members.where("n > 2").drop("n")
     for turn in range(HEADS + 1):
-        nodes = components(found)
+        # groups that are not yet whole only leave more to compare
+        nodes = written(components(found, rounds=2))
         placed = members.join(nodes.toDF("line_id", "group"), "line_id", "left").join(nodes.toDF("head", "head_group"), "head", "left")
         placed = placed.select("line_id", "band", "head", F.coalesce("group", "line_id").alias("group"), F.coalesce("head_group", "head").alias("head_group")).withColumn("apart", F.col("group") != F.col("head_group"))
         crowds = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("strays"), F.min(F.when(F.col("apart"), F.col("line_id"))).alias("next")).where("strays > 0")
-        members = _written(placed.join(crowds, "band"))
+        members = written(placed.join(crowds, "band"))
         crowded = members.where(F.col("strays") > CROWD)
         if turn == HEADS or crowded.isEmpty():
             break
@@ -166,7 +166,7 @@ def _links(lines: DataFrame, threshold: float) -> DataFrame:
     y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
     met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
     pairs = x.alias("x").join(y.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
-    return found.unionByName(verified(_written(pairs)))
+    return found.unionByName(verified(written(pairs)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -182,14 +182,14 @@ def _removed(rows: DataFrame, threshold: float) -> DataFrame:
     nodes = components(_links(lines, threshold)).select(F.col("node").alias("line_id"), "component")
     grouped = firsts.join(nodes, "line_id", "left").where("again or component is not null").select("line_id", "did", F.coalesce("component", "line_id").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("did").alias("kept"))
-    heads = _written(grouped.select("line_id", "component").join(kept, "component"))
+    heads = written(grouped.select("line_id", "component").join(kept, "component"))
     shared = _Marks(heads.select("line_id")).among(lines.select("line_id", "key", "did", "place"), "line_id").join(heads, "line_id")
-    shared = _written(shared.select("key", "place", "component", (F.col("did") == F.col("kept")).alias("tied")))
+    shared = written(shared.select("key", "place", "component", (F.col("did") == F.col("kept")).alias("tied")))
     # within the first document, or rows of its id, the first place stays
     tied = shared.where("tied")
     stay = tied.groupBy("component").agg(F.min(F.struct("key", "place")).alias("stays"))
     later = tied.join(stay, "component").where("key <> stays.key or place <> stays.place")
-    return _written(shared.where("not tied").select("key", "place").unionByName(later.select("key", "place")).groupBy("key").agg(F.collect_set("place").alias("places")))
+    return written(shared.where("not tied").select("key", "place").unionByName(later.select("key", "place")).groupBy("key").agg(F.collect_set("place").alias("places")))
 
 
 def _deduped(documents: DataFrame, threshold: float) -> DataFrame:
@@ -220,10 +220,9 @@ def dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def report(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text as `dedup` leaves it, n_lines (with a word, before) and n_removed."""
-    n_removed = F.col("n_removed")
-    out = _deduped(documents.select("doc_id", "text"), threshold).select("row.doc_id", "row.text", n_removed)
-    left = F.coalesce(F.regexp_count("text", F.lit(rf"[^\n]*{_WORD}[^\n]*")), F.lit(0)).cast("long")
-    return out.select("doc_id", "text", (left + n_removed).alias("n_lines"), "n_removed")
+    out = _deduped(documents.select("doc_id", "text"), threshold).select("row.doc_id", "row.text", "n_removed")
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.rlike(line, F.lit(_WORD))))
+    return out.select("doc_id", "text", (left + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed")
 
 
 def digest(reported: DataFrame) -> DataFrame:
