@@ -9,12 +9,12 @@ plane of nine points, so that nine minima give twelve bands of three, any two of
 Lines that share a band are candidates, and every candidate pair is decided: it is verified by the exact Jaccard similarity of all
 shingles, or its lines are linked by others, or bitmaps of the shingles, whose differing bits are never more than the shingles that
 differ, tell that it is below the threshold.  Each bucket is compared with one head first, crowded ones with a few more, so that lines
-alike become one group; then all lines outside the head's group meet all of the bucket, in cells of bounded size.  Verified
+alike become one group; then all lines outside a bucket's largest group meet all of the bucket, in cells of bounded size.  Verified
 links are joined by distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
 
 Scale: a line costs three numbers and twelve short rows in shuffles; texts are read again only for lines in buckets of two and more, and
 for documents that lose a line, told by a bitmap that grows with their number.  Pairs within a cell are rows only if the bitmaps
-cannot tell them apart; the work in cells grows with the square of those lines of a bucket that are outside its heads' groups.
+cannot tell them apart; the work in cells grows with the square of those lines of a bucket that are outside its largest group.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4
 THRESHOLD = 0.8
 #: Characters of a shingle, and shingles of a line that one generated row stands for at most.
 SHINGLE, STEP = 8, 4096
-#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the head's group that call for another head, and how often.
-BITMAP, CELL, CROWD, HEADS = 32, 2000, 200, 1
+#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the largest group that call for more heads.
+BITMAP, CELL, CROWD = 32, 2000, 50
+#: Heads that all of a crowded bucket meet in one turn, and turns.
+HEADS, TURNS = 6, 1
 PART = 4
 #: Pairs that a task compares, while there are not too many tasks.
 PAIRS = 500
@@ -145,22 +147,24 @@ def _links(lines: DataFrame, threshold: float) -> DataFrame:
         return written(met.where(_near(threshold)).select("a", "b"))
 
     found = verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))
-    members = members.where("n > 2").drop("n")
-    for turn in range(HEADS + 1):
-        # groups that are not yet whole only leave more to compare
-        nodes = written(components(found, rounds=2))
-        placed = members.join(nodes.toDF("line_id", "group"), "line_id", "left").join(nodes.toDF("head", "head_group"), "head", "left")
-        placed = placed.select("line_id", "band", "head", F.coalesce("group", "line_id").alias("group"), F.coalesce("head_group", "head").alias("head_group")).withColumn("apart", F.col("group") != F.col("head_group"))
-        crowds = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if("apart").alias("strays"), F.min(F.when(F.col("apart"), F.col("line_id"))).alias("next")).where("strays > 0")
-        members = written(placed.join(crowds, "band"))
+    members = members.where("n > 2").select("line_id", "band")
+    # groups that are not yet whole only leave more to compare
+    for turn in range(TURNS + 1):
+        placed = written(members.join(written(components(found, rounds=3)).toDF("line_id", "group"), "line_id", "left").withColumn("group", F.coalesce("group", "line_id")))
+        sizes = placed.groupBy("band", "group").agg(F.count("*").alias("size"))
+        crowds = sizes.groupBy("band").agg(F.sum("size").alias("n"), F.max(F.struct("size", "group")).alias("main")).select("band", "n", (F.col("n") - F.col("main.size")).alias("strays"), F.col("main.group").alias("main")).where("strays > 0")
+        members = written(placed.join(crowds, "band").withColumn("apart", F.col("group") != F.col("main")))
         crowded = members.where(F.col("strays") > CROWD)
-        if turn == HEADS or crowded.isEmpty():
+        if turn == TURNS or crowded.isEmpty():
             break
-        found = found.unionByName(verified(bounded(crowded.where("line_id <> next").select(F.col("line_id").alias("a"), F.col("next").alias("b")))))
-        members = members.select("line_id", "band", "head")
-    # every line outside the head's group meets all lines of the bucket but the head, which it has met
+        by = lambda i: F.min(F.when(F.col("apart"), F.struct(F.xxhash64("line_id", F.lit(i)).alias("hash"), "line_id", "group")))
+        heads = crowded.groupBy("band").agg(F.array(*(by(HEADS * turn + i) for i in range(HEADS))).alias("heads")).select("band", F.explode("heads").alias("head"))
+        met = crowded.join(heads, "band").where(F.col("group") != F.col("head.group"))
+        found = found.unionByName(verified(bounded(met.select(F.col("line_id").alias("a"), F.col("head.line_id").alias("b")))))
+        members = members.select("line_id", "band")
+    # every line outside the bucket's largest group meets all of the bucket
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    sides = members.where("line_id <> head").select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
+    sides = members.select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     x = sides.where("apart").select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "part", "of"))
     y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
