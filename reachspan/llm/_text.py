@@ -3,8 +3,9 @@
 A block of documents is one byte array plus row offsets.  Words, word hashes and rolling hashes of
 k consecutive units come out of a few NumPy passes over that array, so no Python runs per word.
 
-All hashes are 64 bits: a polynomial over random byte values modulo 2**64 with a mixing step.  They
-do not depend on the process, so equal text gives equal hashes on every executor.
+All hashes of spans are polynomials over random unit values modulo the prime 2**61 - 1, with a mixing step.  Two different
+spans of n units collide for at most n of the 2**61 bases; unlike a power of two, the prime has no base-free collisions.
+They do not depend on the process, so equal text gives equal hashes on every executor.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 21
 U = np.uint64
 
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+_P = U(PRIME)
+_BASE = 0x13C6EF372FE94F82 % PRIME
+_UNBASE = pow(_BASE, -1, PRIME)
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_BYTE = _rng.integers(1, PRIME, 256, dtype=np.uint64)
 _SALT = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * U(2) + U(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,14 +41,32 @@ VISIBLE[0x20] = VISIBLE[0x09:0x0E] = False
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 bits: 2**61 is 1 and 2**62 is 2."""
+    half, low = U(31), U((1 << 31) - 1)
+    xh, xl, yh, yl = x >> half, x & low, y >> half, y & low
+    middle = xh * yl
+    middle += xl * yh
+    out = xh * yh
+    out += out
+    out += xl * yl
+    out += middle >> U(30)
+    out += (middle & U((1 << 30) - 1)) << half
+    return _reduced(out)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     global _powers
-    if len(_powers[0]) < n:
-        m = max(n, BLOCK_BYTES + 65536)
-        up, down = np.full(m, _BASE, dtype=np.uint64), np.full(m, _UNBASE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
+    while len(_powers[0]) < n:
+        m = len(_powers[0])
+        _powers = tuple(np.concatenate([p, times(p, np.full(m, pow(b, m, PRIME), np.uint64))]) for p, b in zip(_powers, (_BASE, _UNBASE), strict=True))
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -65,15 +86,19 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
 
 def prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values times powers: what `span_hash` reads."""
+    terms = times(_reduced(values), powers(len(values))[0])
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.multiply(values, powers(len(values))[0], out=out[1:])
-    np.cumsum(out[1:], out=out[1:])
+    # halves are summed apart, below 2**64 for 2**33 values
+    high = np.cumsum(terms >> U(31), dtype=np.uint64)
+    terms &= U((1 << 31) - 1)
+    np.cumsum(terms, out=terms)
+    out[1:] = _reduced((high >> U(30)) + ((high & U((1 << 30) - 1)) << U(31)) + _reduced(terms))
     return out
 
 
 def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [begin, end)."""
-    return mix((sums[end] - sums[begin]) * powers(len(sums))[1][begin])
+    return mix(times(_reduced(sums[end] + (_P - sums[begin])), powers(len(sums))[1][begin]))
 
 
 class Block:

@@ -198,6 +198,23 @@ def test_suffix_automaton():
         assert n == best
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_strings_differ(spark, n):
+    """The Thue-Morse word and its complement, which collide in every polynomial hash modulo a power of two."""
+    x, y = ("".join(str((bin(i).count("1") + flip) % 2) for i in range(n)) for flip in (0, 1))
+    head = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{x}\n{y}")]
+    documents = frame(spark, rows)
+    assert {r.doc_id: r.n_removed for r in automata.digest(automata.remove_repeats(documents)).collect()} == {1: 0, 2: 0, 3: 0}
+    want = [(d, len(u), sum(g)) for d, u, g in plain_repeats(rows, lambda t: list(t.encode()), 50)]
+    assert rows_of(suffix_array.digest(suffix_array.remove_repeats(documents)), "doc_id", "n_bytes", "n_removed") == sorted(want, key=str)
+    assert {r.doc_id: r.n_dup_lines for r in rules.judge(documents, rules.fit(documents, spark.createDataFrame([], "doc_id long, quality int"))).collect()} == {1: 0, 2: 0, 3: 0}
+    alone = frame(spark, [(1, x), (2, y)])
+    assert {r.class_id for r in ngram_join.digest(ngram_join.join(alone)).collect()} == {1, 2}
+    found = decontaminate.digest(decontaminate.find(alone, spark.createDataFrame([(7, x)], "item_id long, text string")))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 1, 2: 0}
+
+
 # -- rules -----------------------------------------------------------------------------------------------------------
 
 
