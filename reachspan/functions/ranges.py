@@ -63,6 +63,18 @@ def rendered(m: BoolMatrix) -> DataFrame:
     return packed(m).select("row", F.concat(F.col("row").cast("string"), F.lit(": "), F.array_join(parts, " ")).alias("text"))
 
 
+def rendered_values(cells: DataFrame) -> DataFrame:
+    """row, text: `row: (col, value) (col, value)` for each row of cells with values."""
+    held = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    parts = F.transform("cells", lambda c: F.concat(F.lit("("), c["col"].cast("string"), F.lit(", "), c["value"].cast("string"), F.lit(")")))
+    return held.select("row", F.concat(F.col("row").cast("string"), F.lit(": "), F.array_join(parts, " ")).alias("text"))
+
+
+def row_of(m: BoolMatrix, row: int) -> DataFrame:
+    """The entries of one row."""
+    return m.df.where(F.col("row") == row).drop("row")
+
+
 def row_delimiters(m: BoolMatrix) -> DataFrame:
     """row, begin, end: places of each row's entries in a flat array, as compressed sparse rows have them; two entries a range.
 

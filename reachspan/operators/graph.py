@@ -7,11 +7,13 @@ from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachspan.functions.indexing import numbered
 from reachspan.functions.ranges import prefix_sum
 from reachspan.matrix import BoolMatrix
+from reachspan.runtime import cut
 
 #: Nodes and edges that an ordering may hold in one task.
 MAX_ORDERED = 5_000_000
@@ -56,20 +58,22 @@ def start_nodes(graph: Graph) -> DataFrame:
 def components(graph: Graph) -> DataFrame:
     """component from 1, lower, upper (past the last rank): a component reaches from one start node to the next.
 
-    Start nodes are few; only they are numbered in one task.
+    Start nodes may be as many as nodes, so they are numbered by range partitions; the next start is a join on the number.
     """
-    by = Window.orderBy("rank")
-    end = graph.nodes.agg((F.max("rank") + 1).alias("_end"))
-    starts = start_nodes(graph).select("rank", F.row_number().over(by).cast("long").alias("component"), F.lead("rank").over(by).alias("_next"))
-    return starts.crossJoin(F.broadcast(end)).select("component", F.col("rank").alias("lower"), F.coalesce("_next", "_end").alias("upper"))
+    end = graph.nodes.agg((F.max("rank") + 1).alias("end")).first().end
+    starts = cut(numbered(start_nodes(graph).select("rank"), "rank", "component"))
+    following = starts.select((F.col("component") - 1).alias("component"), F.col("rank").alias("next"))
+    return starts.join(following, "component", "left").select("component", F.col("rank").alias("lower"), F.coalesce("next", F.lit(end)).alias("upper"))
 
 
 def upper_node_rank_in_component(graph: Graph, rank: int) -> tuple[int, int, int]:
-    """Past the last rank of the component of a rank, that component's number from 1, and the number of components."""
-    row = components(graph).agg(F.max(F.when((F.col("lower") <= rank) & (F.col("upper") > rank), F.struct("upper", "component"))).alias("own"), F.count("*").alias("n")).first()
-    if row.own is None:
-        raise ValueError(f"no component holds rank {rank}")
-    return row.own.upper, row.own.component, row.n
+    """Past the last rank of the component of a rank, that component's number from 1, and the number of components.
+
+    Ranks before the first start node are in component 0, which ends there; so are all ranks of a graph without start nodes.
+    """
+    starts = start_nodes(graph)
+    row = starts.agg(F.min(F.when(F.col("rank") > rank, F.col("rank"))).alias("upper"), F.count_if(F.col("rank") <= rank).alias("own"), F.count("*").alias("n")).first()
+    return row.upper or graph.nodes.count() + 1, row.own, row.n
 
 
 def node_count(graph: Graph, lower: int = 1, upper: int = 0) -> int:
@@ -134,7 +138,7 @@ def order_nodes(graph: Graph, ordering: str = "min-breaks", seed: int = 1) -> Gr
     if ordering == "native":
         return graph
     if ordering == "random":
-        new = graph.nodes.select("id", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id")).cast("long").alias("_new"))
+        new = numbered(graph.nodes.select("id", F.struct(F.xxhash64("id", F.lit(seed)), "id").alias("_order")), "_order", "_new").select("id", "_new")
     elif ordering in ("topological", "cuthill-mckee", "min-breaks"):
         pairs = _ranked(graph)
         if max(graph.nodes.count(), pairs.count()) > MAX_ORDERED:

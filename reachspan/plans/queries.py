@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachspan.functions import indexing as I
 from reachspan.functions import ranges as R
 from reachspan.operators import algebra as A
 from reachspan.operators import dindex as D
 from reachspan.operators import graph as G
 from reachspan.plans import derived
+from reachspan.runtime import checkpoint_folder
+from reachspan.sources import generate, gfa, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,3 +238,275 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 1, 4)
     return D.hits(index, _pairs(spark, sf_dir))
+
+
+# -- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_back(spark: SparkSession, sf_dir: str, version: str, read_as: str) -> G.Graph:
+    path = _folder(spark, "graph")
+    gfa.write_gfa(derived.conversations_graph(spark, sf_dir), path, version)
+    return gfa.read_gfa(spark, path, read_as)
+
+
+_NAMED = _TURNS + ", named AS (SELECT *, conv_id || '/' || turn AS name FROM n)"
+
+
+@_query(f"WITH {_NAMED} SELECT name, CAST(len AS BIGINT) AS len, row_number() OVER (ORDER BY name) AS rank FROM named")
+def gfa1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, sf_dir, "gfa1", "gfa1").nodes.select("name", "len", "rank")
+
+
+@_query(f"WITH {_NAMED} SELECT a.name AS a, b.name AS b FROM named a JOIN named b ON b.rank = a.nx")
+def gfa1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _read_back(spark, sf_dir, "gfa1", "gfa")
+    names = g.nodes.select("id", "name")
+    return g.edges.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select("a", "b")
+
+
+@_query(f"WITH {_NAMED}, o AS (SELECT name, len, row_number() OVER (ORDER BY name) AS rank FROM named) SELECT rank, CAST(coalesce(sum(len) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM o")
+def gfa2_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.locus_offsets(_read_back(spark, sf_dir, "gfa2", "gfa2")).select("rank", "start")
+
+
+@_query(f"WITH {_NAMED} SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, name FROM named")
+def gfa2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _read_back(spark, sf_dir, "gfa2", "")
+    return g.paths.select(F.col("name").alias("path"), F.col("pos").cast("long").alias("pos"), F.col("node").alias("id")).join(g.nodes.select("id", "name"), "id").select("path", "pos", "name")
+
+
+_DOT_K = 3
+
+
+@_query(f"""
+WITH q AS (SELECT string_agg(regexp_replace(upper(n_name), '[^ACGTNacgtn]', 'N', 'g'), 'N' ORDER BY n_nationkey) || 'N' AS s FROM nation),
+e AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS a, CAST((n_nationkey * 7 + 3) % 20 AS BIGINT) AS b FROM nation),
+v AS (SELECT CAST(n_nationkey AS BIGINT) AS i, n_nationkey * 5 AS p, 2 + n_nationkey % 6 AS l, CASE WHEN n_nationkey IN (SELECT b FROM e) THEN {_DOT_K - 1} ELSE 0 END AS cut FROM nation)
+SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL
+SELECT 'S' || chr(9) || (i + 1) || chr(9) || CASE WHEN length(substr(s, CAST(p + 1 AS BIGINT), CAST(l AS BIGINT))) > cut THEN substr(substr(s, CAST(p + 1 AS BIGINT), CAST(l AS BIGINT)), cut + 1) ELSE 'N' END FROM v, q UNION ALL
+SELECT 'L' || chr(9) || (a + 1) || chr(9) || '+' || chr(9) || (b + 1) || chr(9) || '+' || chr(9) || '0M' FROM e WHERE a <> b""")
+def dot_to_gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DOT graph with one node for each nation, over the nations' names as FASTA records."""
+    nations = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"), "n_name")
+    dot, fasta = _folder(spark, "dot"), _folder(spark, "fasta")
+    label = F.format_string('%d [label="0:1,%d:%d"]', "i", F.col("i") * 5, F.col("i") % 6 + 2)
+    edge = F.format_string("%d -> %d", "i", (F.col("i") * 7 + 3) % 20)
+    nations.select(F.explode(F.array(label, edge)).alias("value")).write.text(dot)
+    nations.repartitionByRange(1, "i").sortWithinPartitions("i").select(F.explode(F.array(F.concat(F.lit(">"), F.col("i").cast("string")), F.upper("n_name"))).alias("value")).write.text(fasta)
+    return gfa.dot_to_gfa(spark, dot, fasta, _DOT_K, skip_loops=True)
+
+
+def _stored(spark: SparkSession, m) -> tuple[str, object]:
+    path = _folder(spark, "matrix")
+    storage.save(m, path)
+    return path, storage.load(spark, path)
+
+
+@_query(f"WITH {_CELLS} {_islands('cells')}")
+def stored_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, derived.orders_parts(spark, sf_dir).to_ranges())[1].df
+
+
+@_query(f"""WITH {_CELLS} SELECT max("row") + 1 AS nrows, max(col) + 1 AS ncols, count(*) AS nnz, 'basic' AS encoding, true AS held FROM cells""")
+def stored_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, m = _stored(spark, derived.orders_parts(spark, sf_dir))
+    held = storage.size_in_bytes(spark, path) > 0
+    return spark.read.parquet(f"{path}/shape").select("nrows", "ncols", "nnz", "encoding", F.lit(held).alias("held"))
+
+
+@_query(_CONVERSATION_INDEX.format(only="AND q.x > p.stop") + _islands("d"))
+def stored_compressed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    index = D.compress_distance_index(D.create_distance_index(G.range_adjacency_matrix(g), 2, 12), g)
+    return _stored(spark, index)[1].df
+
+
+_PLACED = f'WITH {_CELLS}, c AS (SELECT *, row_number() OVER (ORDER BY "row", col) - 1 AS place FROM cells) '
+
+
+@_query(_PLACED + "SELECT place, col AS entry FROM c")
+def csr_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat entries, sorted in every row."""
+    return storage.to_csr(derived.orders_parts(spark, sf_dir))[0]
+
+
+@_query(f"WITH {_CELLS} {_islands('cells')}")
+def csr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = derived.orders_parts(spark, sf_dir).to_ranges()
+    return storage.from_csr_tables(*storage.to_csr(m), m.ncols, "ranges").df
+
+
+@_query('SELECT * FROM (VALUES (0, 2, 3), (1, 0, 0), (1, 2, 2)) t("row", lo, hi)'.replace("SELECT *", 'SELECT CAST("row" AS BIGINT) AS "row", CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi'))
+def csr_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays that the driver holds."""
+    return storage.from_csr(spark, 4, [2, 3, 0, 0, 2, 2], [0, 2, 6, 6], "ranges").df
+
+
+@_query(f"WITH {_CELLS} SELECT * FROM cells")
+def external_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = derived.orders_parts(spark, sf_dir)
+    return A.from_cells(derived.table(spark, sf_dir, "lineitem"), m.nrows, m.ncols, "l_orderkey", "l_partkey").df
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, true AS inside, true AS again FROM events")
+def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived.table(spark, sf_dir, "events").count()
+    pairs, again = (generate.random_pairs(spark, 100, n, seed=5) for _ in range(2))
+    equal = pairs.exceptAll(again).isEmpty()
+    return pairs.agg(F.count("*").alias("n"), F.bool_and(F.col("i").between(0, 99) & F.col("j").between(0, 99)).alias("inside"), F.lit(equal).alias("again"))
+
+
+@_query("SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS cells, true AS inside FROM (VALUES (0), (40), (2000), (2500)) t(n)")
+def random_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse, dense and full matrices of 50 rows, with values from one to two: as many distinct cells as asked for."""
+    parts = []
+    for n in (0, 40, 2000, 2500):
+        m = generate.random_matrix(spark, 50, n, 1.0, 2.0, seed=n)
+        inside = F.col("row").between(0, 49) & F.col("col").between(0, 49) & (F.col("value") >= 1) & (F.col("value") < 2)
+        parts.append(m.agg(F.lit(n).cast("long").alias("n"), F.count_distinct("row", "col").alias("cells"), F.coalesce(F.bool_and(inside), F.lit(True)).alias("inside")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# -- more of graphs --------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_NAMED}, w AS (SELECT name, rank FROM named WHERE rank = (SELECT max(rank) FROM named)) SELECT name, rank AS id FROM w UNION ALL SELECT 'no such name', 0")
+def node_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    name = g.nodes.agg(F.max_by("name", "rank").alias("name")).first().name
+    return spark.createDataFrame([(n, G.node_by_name(g, n)) for n in (name, "no such name")], "name string, id long")
+
+
+@_query(f"WITH {_NAMED}, c AS (SELECT conv_id, min(rank) AS lower, max(rank) + 1 AS upper FROM n GROUP BY conv_id) SELECT rank AS lower, (SELECT upper FROM c WHERE c.conv_id = named.conv_id) AS upper FROM named WHERE rank IN (1, (SELECT max(rank) FROM named))")
+def region_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a segment's name, where the path is missing, and from the first node, where both are."""
+    g = derived.conversations_graph(spark, sf_dir)
+    name = g.nodes.agg(F.max_by("name", "rank").alias("name")).first().name
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = [G.region_nodes_rank_range(g, "no such path", name), G.region_nodes_rank_range(g, "no such path", "no such segment")]
+    return spark.createDataFrame(found, "lower long, upper long")
+
+
+@_query("SELECT CAST(count(*) + 1 AS BIGINT) AS upper, CAST(0 AS BIGINT) AS component, CAST(0 AS BIGINT) AS n FROM nation")
+def component_of_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in a circle: there is no start node."""
+    n = derived.table(spark, sf_dir, "nation").count()
+    ids = spark.range(1, n + 1)
+    nodes = ids.select(F.col("id").alias("rank"), "id", F.col("id").cast("string").alias("name"), F.lit(1).cast("long").alias("len"))
+    edges = ids.select(F.col("id").alias("src"), (F.col("id") % n + 1).alias("dst"))
+    return spark.createDataFrame([G.upper_node_rank_in_component(G.Graph(nodes, edges), 3)], "upper long, component long, n long")
+
+
+@_query(f"WITH {_NAMED} SELECT name FROM named WHERE starts_with(name, '1') AND suffix(name, '/0')")
+def names_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.conversations_graph(spark, sf_dir).nodes.where(I.starts_with("name", "1") & I.ends_with("name", "/0")).select("name")
+
+
+def _order_query(ordering: str, by: str) -> None:
+    def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = G.order_nodes(derived.conversations_graph(spark, sf_dir), ordering, seed=3)
+        ranks = g.nodes.select("id", "rank")
+        n = ranks.agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_distinct("rank").alias("n"), F.count("*").alias("m")).first()
+        whole = (n.a, n.b, n.m) == (1, n.n, n.n)
+        steps = g.edges.join(ranks.toDF("src", "a"), "src").join(ranks.toDF("dst", "b"), "dst")
+        return steps.select("src", "dst", F.expr(by).alias("holds"), F.lit(whole).alias("whole"))
+
+    ordered.__name__ = "order_" + ordering.replace("-", "_")
+    ordered.__doc__ = f"Edges of the graph ordered by {ordering}, whether what the order promises on chains holds, and whether ranks are whole."
+    _query(f"WITH {_TURNS} SELECT rank AS src, nx AS dst, true AS holds, true AS whole FROM n WHERE nx IS NOT NULL")(ordered)
+
+
+for _ordering, _by in {"native": "b = a + 1", "random": "a <> b", "topological": "a < b", "cuthill-mckee": "abs(a - b) = 1", "min-breaks": "b = a + 1"}.items():
+    _order_query(_ordering, _by)
+
+
+# -- more of matrices ------------------------------------------------------------------------------------------------
+
+
+@_query('SELECT i AS "row", i AS col FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)')
+def identity_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.identity(spark, derived.table(spark, sf_dir, "events").count(), "basic").df
+
+
+@_query(f"WITH {_CELLS} SELECT count(*) AS nnz FROM cells")
+def nnz_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.nnz(derived.orders_parts(spark, sf_dir))
+
+
+@_query(f'WITH {_TURNS}, r AS ({_islands("adj")}) SELECT count(*) AS ranges, CAST(round(1000000 * count(*) / (SELECT sum(len) FROM n)) AS BIGINT) AS ranges_a_million_rows, CAST(round(1000 * sum(hi - lo + 1) / count(*)) AS BIGINT) AS cells_a_thousand_ranges FROM r')
+def stats_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.stats(G.adjacency_matrix(derived.conversations_graph(spark, sf_dir)))
+    return s.select("ranges", F.round(F.col("ranges_per_row") * 1000000).cast("long").alias("ranges_a_million_rows"), F.round(F.col("nnz_per_range") * 1000).cast("long").alias("cells_a_thousand_ranges"))
+
+
+@_query(f"""WITH {_TURNS} SELECT CAST("row" AS BIGINT) AS "row", "row" || ': ' || string_agg('(' || col || ', 1)', ' ' ORDER BY col) AS text FROM adj GROUP BY "row" """)
+def rendered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rendered_values(G.adjacency_values(derived.conversations_graph(spark, sf_dir)))
+
+
+@_query(f'WITH {_CELLS} SELECT lo, hi FROM ({_islands("cells")}) WHERE "row" = (SELECT max("row") FROM cells)')
+def one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = derived.orders_parts(spark, sf_dir).to_ranges()
+    return R.row_of(m, m.nrows - 1)
+
+
+@_query("SELECT true AS same, false AS other, false AS shape")
+def equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix and its other encoding are equal; with one more cell, or with another shape, they are not."""
+    m = derived.orders_parts(spark, sf_dir)
+    larger = A.from_blocks(m.nrows + 1, m.ncols, [(m, 0, 0)], "basic")
+    more = A.add(larger, A.from_cells(spark.createDataFrame([(m.nrows, 0)], "row long, col long"), m.nrows + 1, m.ncols))
+    return spark.createDataFrame([(m.equals(m.to_ranges()), larger.equals(more), m.equals(larger))], "same boolean, other boolean, shape boolean")
+
+
+@_query(f'WITH {_CELLS} SELECT DISTINCT x.col AS "row", y.col FROM cells x JOIN cells y ON x."row" = y."row"')
+def multiply_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = derived.orders_parts(spark, sf_dir)
+    return A.multiply(derived.transposed(m), m).df
+
+
+_TWO_STEPS = f"WITH {_TURNS}, l AS (SELECT unnest(range(start, start + len)) AS x, conv_id FROM n) "
+
+
+@_query(_TWO_STEPS + ', d AS (SELECT p.x AS "row", q.x AS col FROM l p JOIN l q ON q.conv_id = p.conv_id AND q.x - p.x BETWEEN 0 AND 20) ' + _islands("d"))
+def multiply_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long intervals by blocks of columns: up to twelve steps and up to eight more."""
+    a = G.range_adjacency_matrix(derived.conversations_graph(spark, sf_dir))
+    return A.multiply(D.create_distance_index(a, 0, 12), D.create_distance_index(a, 0, 8), "bucket").df
+
+
+@_query(f'WITH RECURSIVE {_EVENTS}, {_WALK.format(steps=4)} SELECT DISTINCT i AS "row", j AS col FROM walk WHERE k IN (1, 4)')
+def merge_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = derived.events_matrix(spark, sf_dir)
+    return A.merge(D.create_distance_index(a, 1, 1), D.create_distance_index(a, 4, 4)).df
+
+
+@_query(_CONVERSATION_INDEX.format(only="AND q.x > p.stop") + 'SELECT "row", col FROM d')
+def compress_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.conversations_graph(spark, sf_dir)
+    return D.compress_distance_index(D.create_distance_index(G.adjacency_matrix(g), 2, 12), g).df
+
+
+@_query(_walks(1, 2) + f', {_PAIRS} SELECT i, j, EXISTS (SELECT 1 FROM d WHERE d."row" = i AND d.col = j) AS hit FROM pairs')
+def lookup_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.query(D.create_distance_index(derived.events_matrix(spark, sf_dir), 1, 2), _pairs(spark, sf_dir))
+
+
+@_query(f'WITH {_CELLS}, p AS (SELECT * FROM (SELECT "row" AS i, col AS j FROM cells ORDER BY 1, 2 LIMIT 3) UNION ALL SELECT 0, max(col) FROM cells) SELECT i, j, EXISTS (SELECT 1 FROM cells WHERE "row" = i AND col = j) AS hit, false AS refused FROM p UNION ALL SELECT max("row") + 1, 0, false, true FROM cells')
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three cells, one more, and one that lies beyond the matrix and is refused."""
+    m = _stored(spark, derived.orders_parts(spark, sf_dir).to_ranges())[1]
+    asked = [tuple(r) for r in m.to_basic().df.orderBy("row", "col").limit(3).collect()] + [(0, m.ncols - 1), (m.nrows, 0)]
+    rows = []
+    for i, j in asked:
+        try:
+            rows.append((i, j, D.at(m, i, j), False))
+        except IndexError:
+            rows.append((i, j, False, True))
+    return spark.createDataFrame(rows, "i long, j long, hit boolean, refused boolean")

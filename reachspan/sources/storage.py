@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from reachspan.functions.ranges import row_delimiters
 from reachspan.matrix import BoolMatrix
 
-ROWS_A_BUCKET = 1 << 20
+#: Places of a flat array that meet their rows at once.
+PLACES = 1 << 12
 
 
 def save(m: BoolMatrix, path: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
@@ -52,6 +53,22 @@ def from_csr(spark: SparkSession, ncols: int, entries, delimiters, encoding: str
     return BoolMatrix(df, len(delimiters) - 1, ncols, encoding)
 
 
+def from_csr_tables(entries: DataFrame, delimiters: DataFrame, ncols: int, encoding: str = "basic") -> BoolMatrix:
+    """A matrix of tables as `to_csr` gives them: entries (place, entry) and rows (row, begin, end), of any size.
+
+    Places and rows meet in blocks of PLACES places: an equality join, whatever the lengths of rows.
+    """
+    block = lambda c: F.floor(c / PLACES).cast("long")
+    rows = delimiters.where("begin < end").select("row", "begin", "end", F.explode(F.sequence(block(F.col("begin")), block(F.col("end") - 1))).alias("_block"))
+    placed = entries.select("place", "entry", block(F.col("place")).alias("_block")).join(rows, "_block").where("place >= begin and place < end")
+    nrows = delimiters.agg(F.coalesce(F.max("row") + 1, F.lit(0)).alias("n")).first().n
+    if encoding == "basic":
+        return BoolMatrix(placed.select("row", F.col("entry").alias("col")).distinct(), nrows, ncols, encoding)
+    pair = F.floor((F.col("place") - F.col("begin")) / 2).alias("_pair")
+    ranges = placed.groupBy("row", pair).agg(F.min("entry").alias("lo"), F.max("entry").alias("hi"))
+    return BoolMatrix(ranges.select("row", "lo", "hi"), nrows, ncols, encoding)
+
+
 def to_csr(m: BoolMatrix) -> tuple[DataFrame, DataFrame]:
     """Tables of compressed sparse rows: (place, entry) and (row, begin, end)."""
     from pyspark.sql import Window

@@ -49,8 +49,23 @@ def test_dot(spark, tmp_path):
     dot = written(tmp_path, 'digraph G {\n 0 [label="0:4,2:5"]\n 1 [label="4:4"]\n 2 [label=""]\n 0 -> 1\n 0 -> 1\n 1 -> 1\n}\n', "g.dot")
     fasta = written(tmp_path, ">s\nACGTA\nCCGGT\n", "g.fa")
     got = sorted(r.value for r in gfa.dot_to_gfa(spark, dot, fasta, 3, skip_loops=True).collect())
-    assert got == ["H\tVN:Z:1.0", "L\t0\t+\t1\t+\t0M", "S\t0\tGTACC", "S\t1\tCG", "S\t2\tN"]
-    assert any(r.value == "L\t1\t+\t1\t+\t0M" for r in gfa.dot_to_gfa(spark, dot, fasta, 3).collect())
+    assert got == ["H\tVN:Z:1.0", "L\t1\t+\t2\t+\t0M", "S\t1\tGTACC", "S\t2\tCG", "S\t3\tN"]
+    assert any(r.value == "L\t2\t+\t2\t+\t0M" for r in gfa.dot_to_gfa(spark, dot, fasta, 3).collect())
+
+
+def test_dot_over_several_records(spark, tmp_path):
+    """An N after each record, and for each letter that is no base."""
+    fasta = written(tmp_path, ">a\nACGT\n>b x\nRTTT\nca\n", "g.fa")
+    pieces = sorted((r["at"], r.text) for r in gfa.fasta_pieces(spark, fasta).collect())
+    assert "".join(t for _, t in pieces) == "ACGTNNTTTcaN"
+    dot = written(tmp_path, 'digraph G {\n 0 [label="5:4"]\n 1 [label="3:3"]\n}\n', "g.dot")
+    assert sorted(r.value for r in gfa.dot_to_gfa(spark, dot, fasta, 1).collect()) == ["H\tVN:Z:1.0", "S\t1\tNTTT", "S\t2\tTNN"]
+
+
+def test_components_without_starts(spark):
+    g = graph(spark, 6, [(1, 2), (2, 1), (2, 3), (4, 5)])  # 4 and 6 are starts
+    assert [G.upper_node_rank_in_component(g, r) for r in (1, 3, 4, 5, 6)] == [(4, 0, 2), (4, 0, 2), (6, 1, 2), (6, 1, 2), (7, 2, 2)]
+    assert G.upper_node_rank_in_component(graph(spark, 3, [(1, 2), (2, 3), (3, 1)]), 2) == (4, 0, 0)
 
 
 def graph(spark, n, edges, seed=0):
