@@ -4,7 +4,8 @@ Every run of k words of every document is hashed (in NumPy) and looked up among
 templates.  A hit at document word p and template word t votes for the diagonal p - t.  Spark joins the
 hits to all template positions, sums them by (document, template, diagonal), merges neighbouring
 diagonals into one span, and the span is verified by the longest common subsequence of its words and
-the template's.  Phrases are templates that must match in full, on one diagonal.
+the template's, and by the runs of words that tell the licence and its version from others, which must stand in it.  Of
+notices that overlap the one with the most words found stays.  Phrases are templates that must match in full, on one diagonal.
 
 Scale: only hits leave the scan, with the words of documents that have hits coded by the templates' few
 hundred words.  Templates are a fixed list, so their table is joined as a broadcast; `MAX_TEMPLATE_WORDS`
@@ -31,14 +32,18 @@ MAX_TEMPLATE_WORDS = 100_000
 class Templates:
     """Word codes of all templates, and hashes of their runs: of K words, or of all words for phrases and short ones."""
 
-    def __init__(self, phrases: dict[str, str], notices: list[tuple[str, str]]):
-        texts = [(label, text, True) for text, label in phrases.items()] + [(label, text, False) for label, text in notices]
+    def __init__(self, phrases: dict[str, str], notices: list[tuple[str, str, list[str]]]):
+        texts = [(label, text, True) for text, label in phrases.items()] + [(n[0], n[1], False) for n in notices]
         hashes = [X.word_hashes(text, X.ALNUM, True) for _, text, _ in texts]
         if sum(map(len, hashes)) > MAX_TEMPLATE_WORDS or not all(map(len, hashes)):
             raise ValueError(f"templates need 1 to {MAX_TEMPLATE_WORDS} words in all")
         self.vocabulary = np.unique(np.concatenate(hashes))
         self.labels, self.whole = [t[0] for t in texts], [t[2] for t in texts]
         self.codes = [np.searchsorted(self.vocabulary, h).astype(np.int32) for h in hashes]
+        needs = [[]] * len(phrases) + [[X.word_hashes(must, X.ALNUM, True) for must in n[2]] for n in notices]
+        if any(not np.isin(h, own).all() for own, must in zip(hashes, needs, strict=True) for h in must):
+            raise ValueError("words that must stand in a notice are words of it")
+        self.needs = [[np.searchsorted(self.vocabulary, h).astype(np.int32) for h in must] for must in needs]
         self.runs: list[tuple[int, int, int, int]] = []  # length of run, hash, template, place
         for n, h in enumerate(hashes):
             k = len(h) if self.whole[n] else min(K, len(h))
@@ -60,12 +65,28 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
-def scan(documents: DataFrame, phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+def stands_in(run: np.ndarray, words: np.ndarray) -> bool:
+    """Whether the words hold the run together."""
+    starts = np.flatnonzero(words[: len(words) - len(run) + 1] == run[0]) if len(run) <= len(words) else []
+    return any(np.array_equal(words[s : s + len(run)], run) for s in starts)
+
+
+def best_of(spans: list[dict]) -> list[dict]:
+    """Phrases, and of overlapping notices the one with the most words found (then the first by label and place), by place."""
+    kept: list[dict] = []
+    for s in sorted((s for s in spans if not s["whole"]), key=lambda s: (-s["found"], s["label"], s["first"])):
+        if all(s["last"] < k["first"] or k["last"] < s["first"] for k in kept):
+            kept.append(s)
+    return sorted(kept + [s for s in spans if s["whole"]], key=lambda s: (s["first"], s["last"], s["label"]))
+
+
+def scan(documents: DataFrame, phrases: dict[str, str] | None = None, notices: list[tuple[str, str, list[str]]] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: key, doc_id, n_words and spans: [(label, whole, first, last, score)], by place.
 
     `whole` marks phrases; first and last are word numbers, last included; score is the share of the
-    template's words found in order.  Notices need `min_score`.  Of a label's overlapping notice spans
-    all are given.  Null and empty texts have no words and no spans; repeated rows have equal results.
+    template's words found in order.  Notices need `min_score` and all their required runs, and do not overlap.
+    Null and empty texts have no words and no spans; repeated rows have equal results; an empty table gives an empty one.  Texts may
+    be of any length: a span is verified by itself.
     """
     t = Templates(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
     spark = documents.sparkSession
@@ -122,13 +143,12 @@ def scan(documents: DataFrame, phrases: dict[str, str] | None = None, notices: l
             for s in spans or []:
                 n = s["template"]
                 begin, end = max(0, s["first"]), min(len(words), s["end"])
-                if t.whole[n]:
-                    score = float(np.array_equal(words[begin:end], t.codes[n]))
-                else:
-                    score = common_words(words[begin:end], t.codes[n]) / len(t.codes[n])
+                own = words[begin:end]
+                found = len(t.codes[n]) * np.array_equal(own, t.codes[n]) if t.whole[n] else common_words(own, t.codes[n]) * all(stands_in(run, own) for run in t.needs[n])
+                score = found / len(t.codes[n])
                 if score >= (1.0 if t.whole[n] else min_score):
-                    kept.append({"label": t.labels[n], "whole": t.whole[n], "first": begin, "last": end - 1, "score": score})
-            out.append(kept)
+                    kept.append({"label": t.labels[n], "whole": t.whole[n], "first": begin, "last": end - 1, "score": score, "found": found})
+            out.append([{c: v for c, v in s.items() if c != "found"} for s in best_of(kept)])
         kind = pa.list_(pa.struct([("label", pa.string()), ("whole", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("n_words"), pa.array(out, kind)], names=["key", "doc_id", "n_words", "spans"])
 

@@ -69,7 +69,7 @@ def test_licences(spark):
     rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(60)] + ODD + [(3, "cc by"), (3, "cc by")]
     got = rows_of(licences.digest(licences.scan(frame(spark, rows))), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted(((d, *plain_phrases(t)) for d, t in rows), key=str)
-    notice = licences.NOTICES[1][1]
+    notice = next(n[1] for n in licences.NOTICES if n[0] == "apache-2")
     words = notice.split()
     rows = [(1, "before " + notice + " after"), (2, " ".join(words[:5] + ["odd"] + words[6:20] + words[21:])), (3, " ".join(words[:12])), (4, " ".join(reversed(words)))]
     got = {r.doc_id: r for r in licences.digest(licences.scan(frame(spark, rows))).collect()}
@@ -77,6 +77,58 @@ def test_licences(spark):
     assert licences.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def plain_notices(text):
+    """Labels and best score by comparing every notice with the text around every place that three of its words agree with."""
+    words, spans = ALNUM.findall(lower(text)), []
+    for label, notice, musts in licences.NOTICES:
+        n = ALNUM.findall(notice)
+        at = sorted({p - q for p in range(len(words) - 2) for q in range(len(n) - 2) if words[p : p + 3] == n[q : q + 3]})
+        groups = []
+        for d in at:
+            if groups and d - groups[-1][-1] <= licences.SLACK:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            first, end = max(0, g[0]), min(len(words), g[-1] + len(n))
+            own = words[first:end]
+            best = [0] * (len(n) + 1)
+            for w in own:
+                row = best[:]
+                for j, v in enumerate(n):
+                    row[j + 1] = best[j] + 1 if v == w else max(best[j + 1], row[j])
+                best = row
+            joined = " " + " ".join(own) + " "
+            if best[-1] >= 0.8 * len(n) and all(f" {m} " in joined for m in musts):
+                spans.append((-best[-1], label, first, end - 1, best[-1] / len(n)))
+    kept = []
+    for s in sorted(spans):
+        if all(s[3] < k[2] or k[3] < s[2] for k in kept):
+            kept.append(s)
+    base = plain_phrases(text)
+    labels = {k[1] for k in kept} | set(filter(None, base[4].split(",")))
+    return ",".join(sorted(labels)), max([k[4] for k in kept] + [1.0] * bool(base[1]), default=0.0)
+
+
+def test_notices(spark):
+    rng = random.Random(26)
+    rows = [(1, "Released under the BSD license."), (2, "Licensed under CC BY 4.0"), (3, "Released under the MIT License"), (4, "Licensed under CC BY-NC 4.0"), (5, "released under the old license")]
+    texts = [n[1] for n in licences.NOTICES]
+    for text in texts:
+        words = text.split()
+        lost = [w for i, w in enumerate(words) if len(words) < 15 or i % 11 != 10]
+        rows.append((len(rows) + 1, "some words " + " ".join(lost) + " others " + rng.choice(texts)))
+    rows += [(900, None), (901, ""), (902, "word " * 3000 + texts[1])]
+    got = {r.doc_id: (r.labels, r.score) for r in licences.digest(licences.scan(frame(spark, rows))).collect()}
+    for d, t in rows:
+        labels, score = plain_notices(t)
+        assert (got[d][0], round(got[d][1], 9)) == (labels, round(score, 9)), (d, t)
+    assert [got[d][0] for d in (1, 2, 3, 4, 5)] == ["bsd", "cc-by,cc-by-4", "mit", "cc-by,cc-by-nc-4", ""]
+    two = next(t for label, t, _ in licences.NOTICES if label == "gpl-2")
+    got = licences.digest(licences.scan(frame(spark, [(1, two)]))).first()
+    assert (got.labels, got.score) == ("gpl,gpl-2", 1.0)
+
+
 # -- tokens ----------------------------------------------------------------------------------------------------------
 
 
