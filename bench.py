@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from reachspan.operators import algebra, dindex, graph
 from reachspan.plans import derived
 from reachspan.plans.queries import QUERIES
+from reachspan.runtime import checkpoint_folder
+from reachspan.sources import storage
 from reachspan.sources.generate import random_pairs
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -27,6 +30,13 @@ def timed(df) -> tuple[float, int]:
     return time.perf_counter() - begun, n
 
 
+def stored(spark, index, d2: int) -> int:
+    """Bytes of the index as it is saved."""
+    path = f"{checkpoint_folder(spark)}/bench-{d2}-{uuid.uuid4().hex}"
+    storage.save(index, path)
+    return storage.size_in_bytes(spark, path)
+
+
 def main() -> None:
     spark = SparkSession.builder.master(f"local[{CPUS}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,7 +55,7 @@ def main() -> None:
         times[f"conversations_{d2}"] = round(time.perf_counter() - begun, 3)
         seconds, _ = timed(dindex.query(index, random_pairs(spark, index.nrows, PAIRS)).where("hit"))
         times[f"lookup_{d2}_1m_pairs"] = round(seconds, 3)
-        sizes[f"conversations_{d2}"] = {"ranges": s.ranges, "nnz": s.nnz, "ns_a_pair": round(seconds * 1e9 / PAIRS)}
+        sizes[f"conversations_{d2}"] = {"ranges": s.ranges, "nnz": s.nnz, "ns_a_pair": round(seconds * 1e9 / PAIRS), "bytes": stored(spark, index, d2)}
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "cpus": CPUS, "sizes": sizes}))
     spark.stop()
 

@@ -37,13 +37,16 @@ merge = add
 
 #: Ranges of A that are longer than this are cut into aligned blocks instead of single columns.
 BUCKET = 64
+#: Average length of A's ranges from which blocks of powers of two are taken, and the most sizes of them.
+LONG, MAX_LEVELS = 64, 16
 
 
 def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatrix:
     """Boolean product.  Only A is expanded; B's rows stay intervals.
 
-    method: explode joins on each column of A; bucket joins on blocks of BUCKET columns with a residual test, for A with long ranges.
-    Both are equality joins, so Spark can split skewed keys.
+    method: explode joins on each column of A; bucket joins on blocks of BUCKET columns with a residual test; dyadic joins on aligned
+    blocks of powers of two, for which B's rows are united before, so that a long range of A meets few of them.  auto takes dyadic if
+    A's ranges are long enough on average, which costs a count of A.  All are equality joins, so Spark can split skewed keys.
     """
     _same(a, b)
     if a.ncols != b.nrows:
@@ -51,6 +54,9 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
     if a.encoding == "basic":
         cells = a.df.select("row", F.col("col").alias("_k")).join(b.df.select(F.col("row").alias("_k"), "col"), "_k").select("row", "col").distinct()
         return BoolMatrix(cells, a.nrows, b.ncols, "basic")
+    if method == "auto":
+        seen = a.df.agg(F.avg(F.col("hi") - F.col("lo") + 1).alias("mean")).first()
+        method = "dyadic" if (seen.mean or 0) >= LONG else "explode"
     right = b.df.select(F.col("row").alias("_k"), "lo", "hi")
     if method == "explode":
         joined = a.df.select("row", F.explode(F.sequence("lo", "hi")).alias("_k")).join(right, "_k")
@@ -58,6 +64,9 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
         block = lambda c: F.floor(F.col(c) / BUCKET).cast("long")
         left = a.df.select("row", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(block("lo"), block("hi"))).alias("_b"))
         joined = left.join(right.withColumn("_b", block("_k")), "_b").where("_k between _lo and _hi")
+    elif method == "dyadic":
+        levels = _levels(a.df.agg(F.max(F.col("hi") - F.col("lo") + 1).alias("n")).first().n or 1)
+        joined = _cover(a.df, levels).join(_united(b.df, levels), ["_level", "_b"])
     else:
         raise ValueError(f"unknown method {method!r}")
     # one end for each start and row goes on from every task
@@ -65,6 +74,35 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
     return BoolMatrix(coalesce_ranges(starts), a.nrows, b.ncols, "ranges")
 
 
+def _levels(longest: int) -> int:
+    """Levels of blocks that ranges of a length can fill: 1, 2, 4, ... columns."""
+    return min(MAX_LEVELS, longest.bit_length() - 1)
+
+
+def _cover(ranges: DataFrame, levels: int) -> DataFrame:
+    """row, _level, _b: the fewest aligned blocks of 1, 2, 4, ... columns that make up each range."""
+    lo, hi, blocks = F.col("lo"), F.col("hi"), []
+    for level in range(levels):
+        part = lambda b, level=level: F.struct(F.lit(level).alias("_level"), b.alias("_b"))
+        odd, even = (lo <= hi) & (lo % 2 == 1), (lo <= hi) & (hi % 2 == 0)
+        # a block that is both ends is taken once: if odd then at the lower end, if even at the upper
+        blocks += [F.when(odd, F.array(part(lo))), F.when(even, F.array(part(hi)))]
+        lo, hi = F.shiftright(lo + 1, 1), F.shiftright(hi - 1, 1)
+    top = F.when(lo <= hi, F.transform(F.sequence(F.least(lo, hi), hi), lambda b: F.struct(F.lit(levels).alias("_level"), b.alias("_b"))))
+    none = F.array().cast("array<struct<_level:int,_b:bigint>>")
+    return ranges.select("row", F.inline(F.concat(*(F.coalesce(b, none) for b in [*blocks, top]))))
+
+
+def _united(rows: DataFrame, levels: int) -> DataFrame:
+    """_level, _b, lo, hi: the union of the rows of each block, level by level from the one below."""
+    level = rows.select(F.lit(0).alias("_level"), F.col("row").alias("_b"), "lo", "hi")
+    out = level
+    for n in range(1, levels + 1):
+        level = cut(coalesce_ranges(level.select(F.shiftright("_b", 1).alias("row"), "lo", "hi")).select(F.lit(n).alias("_level"), F.col("row").alias("_b"), "lo", "hi"))
+        out = out.unionByName(level)
+    return out
+
+
 def power(a: BoolMatrix, k: int) -> BoolMatrix:
     """A multiplied k times, by squaring; A**0 is the identity.  Every product is written, so plans stay short."""
     if a.nrows != a.ncols:
@@ -76,11 +114,11 @@ def power(a: BoolMatrix, k: int) -> BoolMatrix:
     result, square = None, a
     while True:
         if k & 1:
-            result = square if result is None else _written(multiply(result, square))
+            result = square if result is None else _written(multiply(result, square, "auto"))
         k >>= 1
         if not k:
             return result
-        square = _written(multiply(square, square))
+        square = _written(multiply(square, square, "auto"))
 
 
 def _written(m: BoolMatrix) -> BoolMatrix:

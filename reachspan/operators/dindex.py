@@ -11,6 +11,10 @@ from reachspan.operators.algebra import _written, add, identity, multiply, power
 from reachspan.operators.graph import Graph, locus_offsets
 
 
+#: Loci that meet their nodes at once, as a power of two.
+BLOCK_BITS = 6
+
+
 def create_distance_index(a: BoolMatrix, d1: int, d2: int) -> BoolMatrix:
     """A**d1 (A + I)**(d2 - d1), in the encoding of A: log2(d1) + log2(d2 - d1) products and one more."""
     if not 0 <= d1 <= d2 or d2 == 0:
@@ -20,16 +24,18 @@ def create_distance_index(a: BoolMatrix, d1: int, d2: int) -> BoolMatrix:
     if d1 == d2:
         return power(a, d1)
     up = power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), d2 - d1)
-    return up if d1 == 0 else _written(multiply(power(a, d1), up))
+    return up if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
 
 
 def compress_distance_index(index: BoolMatrix, graph: Graph) -> BoolMatrix:
     """Without the pairs of which both lie in one node; for a whole-graph index, in either encoding."""
-    starts = locus_offsets(graph)
-    of_row = starts.where("len > 0").select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("row"), F.col("start").alias("_from"), (F.col("start") + F.col("len") - 1).alias("_to"))
-    joined = index.df.join(of_row, "row")
+    # nodes and rows meet in blocks of loci, so that nodes are not expanded
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    ends = locus_offsets(graph).where("len > 0").select(F.col("start").alias("_from"), (F.col("start") + F.col("len") - 1).alias("_to"))
+    of_block = ends.select("_from", "_to", F.explode(F.sequence(block("_from"), block("_to"))).alias("_block"))
+    joined = index.df.withColumn("_block", block("row")).join(of_block, "_block").where("row between _from and _to")
     if index.encoding == "basic":
-        return index.with_df(joined.where(~F.col("col").between(F.col("_from"), F.col("_to"))))
+        return index.with_df(joined.where(~F.col("col").between(F.col("_from"), F.col("_to"))).select("row", "col"))
     before = F.struct(F.col("lo"), F.least("hi", F.col("_from") - 1).alias("hi"))
     after = F.struct(F.greatest("lo", F.col("_to") + 1).alias("lo"), F.col("hi"))
     return index.with_df(joined.select("row", F.inline(F.array(before, after))).where("lo <= hi"))

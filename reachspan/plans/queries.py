@@ -481,6 +481,13 @@ def multiply_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.multiply(D.create_distance_index(a, 0, 12), D.create_distance_index(a, 0, 8), "bucket").df
 
 
+@_query(_TWO_STEPS + ', d AS (SELECT p.x AS "row", q.x AS col FROM l p JOIN l q ON q.conv_id = p.conv_id AND q.x - p.x BETWEEN 3 AND 30) ' + _islands("d"))
+def multiply_dyadic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long intervals by blocks of powers of two: 3 to 18 steps and up to twelve more."""
+    a = G.range_adjacency_matrix(derived.conversations_graph(spark, sf_dir))
+    return A.multiply(D.create_distance_index(a, 3, 18), D.create_distance_index(a, 0, 12), "dyadic").df
+
+
 @_query(f'WITH RECURSIVE {_EVENTS}, {_WALK.format(steps=4)} SELECT DISTINCT i AS "row", j AS col FROM walk WHERE k IN (1, 4)')
 def merge_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = derived.events_matrix(spark, sf_dir)

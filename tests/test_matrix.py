@@ -68,7 +68,7 @@ def test_tiny(spark):
         assert (d.nnz(), d.df.count()) == want
 
 
-@pytest.mark.parametrize("method", ["explode", "bucket"])
+@pytest.mark.parametrize("method", ["explode", "bucket", "dyadic", "auto"])
 def test_product(spark, method):
     a, b = some(3, 30, 200, 500) | {(7, c) for c in range(40, 190)}, some(4, 200, 50, 700)
     got = A.multiply(of(spark, a, 30, 200), of(spark, b, 200, 50), method)
