@@ -49,7 +49,7 @@ STAGES = [
     ("byte_bpe", encoding),
 ]
 
-#: SQL can express neither the forest nor the similarity joins; tests hold the pipeline against a plain version instead.
+#: SQL can express neither the forest nor the similarity joins.  Each stage's operator is tested against a plain version; the pipeline itself on planted texts.
 ORACLE_SQL = None
 
 

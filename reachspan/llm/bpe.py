@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,8 @@ class Coder:
             spelled[i] = t
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate([[0], np.cumsum([len(t) for t in spelled])])
+        # what all special strings begin with tells most pieces without any apart
+        self.special_start = os.path.commonprefix(list(self.special))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(_PATTERN)
         self.pieces: dict[str, bytes] = {}
@@ -178,7 +181,7 @@ class Coder:
         cuts, distinct = [], {}
         for piece in pieces:
             parts = []
-            for part in self.split_special.split(piece) if self.split_special and "<|" in piece else (piece,):
+            for part in self.split_special.split(piece) if self.split_special and self.special_start in piece else (piece,):
                 if part in self.special:
                     parts.append(-1 - self.special[part])
                 elif part:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import cut, keyed, map_batches
+from ._spark import cut, keyed, map_batches, row_of
 
 WINDOW = 10
 K = 5
@@ -157,7 +157,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without hits, with all columns as they are."""
-    bad = find(documents, benchmark).where(F.size("spans") > 0).select(F.col("key").alias("_hit_key")).distinct()
-    kept = documents.withColumn("_hit_own", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
-    return kept.join(bad, F.col("_hit_own") == F.col("_hit_key"), "left_anti").drop("_hit_own")
+    """The documents without hits, with all columns as they are, whatever their names; null, empty and repeated rows without hits all stay."""
+    bad = find(documents, benchmark).where(F.size("spans") > 0).select("key").distinct()
+    rows = documents.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("key"), row_of(documents))
+    return rows.join(bad, "key", "left_anti").select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._components import components
 from ._repeats import bitmap, concerned
-from ._spark import cut, map_batches
+from ._spark import cut, map_batches, row_of
 
 N = 5
 THRESHOLD = 0.8
@@ -204,13 +204,12 @@ def digest(joined: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, that with the smallest id, with all columns as they are; of repeated rows one stays.
+    """One document of each group, that with the smallest id, with all columns as they are, whatever their names; of repeated rows one stays.
 
     Rows without id stay if they are alone in their group or no row of it has an id; then that with the smallest key stays.
     """
     joined = join(documents, n, threshold)
     group = F.coalesce(F.col("group_id"), F.col("class"), F.col("key"))
-    first = joined.groupBy(group, F.col("group_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("_join_key"))
-    named = documents.withColumn("_join_own", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
-    kept = named.join(first.select("_join_key").distinct(), F.col("_join_own") == F.col("_join_key"), "left_semi")
-    return kept.dropDuplicates(["_join_own"]).drop("_join_own")
+    first = joined.groupBy(group, F.col("group_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("kept"))
+    rows = documents.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("key"), row_of(documents))
+    return rows.join(first.select(F.col("kept").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

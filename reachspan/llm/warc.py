@@ -150,7 +150,7 @@ def write_arc(pages: DataFrame, path: str) -> int:
                 out.append(arc_header(version, url, _EPOCH, "text/html", len(content.encode()), name) + "\n" + content)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.repartition(n, "page_id").mapInArrow(written, "value string").write.option("compression", "gzip").text(path)
+    rows.repartition(n, F.xxhash64("page_id", "url", "html")).mapInArrow(written, "value string").write.option("compression", "gzip").text(path)
     return n
 
 

@@ -23,9 +23,12 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+CLASHING = ["key", "kept", "hits", "band", "row", "class", "spans", "bucket", "_join_own", "_join_key", "_hit_own", "_hit_key", "_word", "_bits"]
+
+
 def frame(spark, rows, *more):
     """Documents with columns that clash with names used inside."""
-    return spark.createDataFrame([(*r, *[1] * 4) for r in rows], "doc_id long, text string, key int, kept int, hits int, band int")
+    return spark.createDataFrame([(*r, *[1] * len(CLASHING)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHING))
 
 
 def rows_of(df, *columns):
