@@ -1,16 +1,19 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines of the whole corpus that hold a word are known by their hash; equal lines are one from the first aggregation on.  A line's
-shingles are its runs of SHINGLE characters: the line is encoded with four bytes a character, so that a shingle is a byte slice at a
-fixed place, and rows of places are exploded, hashed and reduced to MINIMA minima by generated code, before any shuffle.  The
+shingles are its runs of SHINGLE characters: the line is encoded with two bytes a character (UTF-16; characters beyond the basic plane
+count as two), so that a shingle is a byte slice at a fixed place, and rows of places are exploded, hashed and reduced to MINIMA minima by
+generated code, before any shuffle.  The
 permutations of MinHash are exclusive-ors with constants of a hash that is random itself.  Bands are the twelve lines of the affine
 plane of nine points, so that nine minima give twelve bands of three, any two of which share one minimum at most.
 
 Lines that share a band are candidates, and every candidate pair is decided: it is verified by the exact Jaccard similarity of all
 shingles, or its lines are linked by others, or bitmaps of the shingles, whose differing bits are never more than the shingles that
-differ, tell that it is below the threshold.  Each bucket is compared with one head first, crowded ones with a few more, so that lines
-alike become one group; then all lines outside a bucket's largest group meet all of the bucket, in cells of bounded size.  Verified
-links are joined by distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
+differ, tell that it is below the threshold.  Each bucket is compared with one head first, so that lines alike become one group.  In
+crowded buckets each line outside the largest group is then verified with the nearest line, by bitmaps, inside and the nearest outside
+of it, which joins most of what can be joined.  At last all lines still outside a bucket's largest group meet all of the bucket, in
+cells of bounded size.  Verified links are joined by distributed union-find, and of each component the first line (smallest doc_id,
+then place) stays.
 
 Scale: a line costs three numbers and twelve short rows in shuffles; texts are read again only for lines in buckets of two and more, and
 for documents that lose a line, told by a bitmap that grows with their number.  Pairs within a cell are rows only if the bitmaps
@@ -31,12 +34,14 @@ from ._spark import row_of, written
 MINIMA = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
 THRESHOLD = 0.8
-#: Characters of a shingle, and shingles of a line that one generated row stands for at most.
-SHINGLE, STEP = 8, 4096
-#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the largest group that call for more heads.
+#: Characters of a shingle, shingles of a line that one generated row stands for at most, and bytes of a character.
+SHINGLE, STEP, WIDE = 8, 4096, 2
+#: Shingles that one row stands for where lines are signed; STEP is a multiple.
+RUN = 8
+#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the largest group that make a bucket crowded.
 BITMAP, CELL, CROWD = 32, 2000, 50
-#: Heads that all of a crowded bucket meet in one turn, and turns.
-HEADS, TURNS = 6, 1
+#: Turns of crowded buckets by nearest lines, before all is compared.
+TURNS = 2
 PART = 4
 #: Pairs that a task compares, while there are not too many tasks.
 PAIRS = 500
@@ -73,22 +78,36 @@ class _Marks:
 
 
 def _coded(lines: DataFrame) -> DataFrame:
-    """line_id and code, the line with four bytes a character."""
-    return lines.select("line_id", F.encode("line", "UTF-32").alias("code"))
+    """line_id and code, the line with WIDE bytes a character."""
+    return lines.select("line_id", F.encode("line", "UTF-16BE").alias("code"))
 
 
-def _hashes(coded: DataFrame) -> DataFrame:
-    """line_id, end (byte place of the last shingle) and hash of every shingle of lines that have one."""
+def _places(coded: DataFrame, apart: int = 1) -> DataFrame:
+    """line_id, code, end (byte place of the last shingle) and the place of every shingle, or every so many shingles, of lines that have one."""
     # places are bytes from one
-    coded = coded.select("line_id", "code", (F.octet_length("code") - (4 * SHINGLE - 1)).alias("end")).where("end > 0")
-    steps = coded.select("line_id", "end", "code", F.explode(F.sequence(F.lit(1), F.col("end"), F.lit(4 * STEP))).alias("first"))
-    places = steps.select("line_id", "end", "code", F.explode(F.sequence("first", F.least(F.col("first") + 4 * (STEP - 1), F.col("end")), F.lit(4))).alias("place"))
-    return places.select("line_id", "end", F.xxhash64(F.expr(f"substring(code, place, {4 * SHINGLE})")).alias("hash"))
+    coded = coded.select("line_id", "code", (F.octet_length("code") - (WIDE * SHINGLE - 1)).alias("end")).where("end > 0")
+    steps = coded.select("line_id", "end", "code", F.explode(F.sequence(F.lit(1), F.col("end"), F.lit(WIDE * STEP))).alias("first"))
+    last = F.least(F.col("first") + WIDE * (STEP - 1), F.col("end"))
+    return steps.select("line_id", "end", "code", F.explode(F.sequence("first", last, F.lit(WIDE * apart))).alias("place"))
+
+
+def _hash(place: str) -> Column:
+    return F.xxhash64(F.expr(f"substring(code, {place}, {WIDE * SHINGLE})"))
+
+
+def _hashes(coded: DataFrame) -> DataFrame:
+    """line_id, end and hash of every shingle."""
+    return _places(coded).select("line_id", "end", _hash("place").alias("hash"))
 
 
 def _signed(coded: DataFrame) -> DataFrame:
-    """line_id and its minima; lines shorter than a shingle have none, as only equal ones are like them."""
-    return _hashes(coded).groupBy("line_id").agg(*(F.min(F.col("hash").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants())))
+    """line_id and its minima; lines shorter than a shingle have none, as only equal ones are like them.
+
+    A row stands for RUN shingles, so that only each run's minima are looked up in the aggregation; the last shingle fills up a short run.
+    """
+    runs = _places(coded, RUN).select("line_id", *(_hash(f"least(place + {WIDE * i}, end)").alias(f"h{i}") for i in range(RUN)))
+    least = lambda c: F.least(*(F.col(f"h{i}").bitwiseXOR(F.lit(c)) for i in range(RUN)))
+    return runs.groupBy("line_id").agg(*(F.min(least(c)).alias(f"m{i}") for i, c in enumerate(_constants())))
 
 
 def _crowded(signed: DataFrame) -> DataFrame:
@@ -105,12 +124,12 @@ def _facts(coded: DataFrame) -> DataFrame:
     part = F.expr(f"cast(shiftright(hash, 16) & {BITMAP // PART - 1} as int)").alias("part")
     parts = _hashes(coded.repartition("line_id")).groupBy("line_id", part).agg(F.max("end").alias("end"), *longs)
     bits = [F.coalesce(F.max(F.when(F.col("part") == j // PART, F.col(f"l{j % PART}"))), F.lit(0).cast("long")).alias(f"b{j}") for j in range(BITMAP)]
-    return parts.groupBy("line_id").agg(((F.max("end") + 3) / 4).cast("long").alias("size"), *bits)
+    return parts.groupBy("line_id").agg(((F.max("end") + WIDE - 1) / WIDE).cast("long").alias("size"), *bits)
 
 
 def _shingles(code: str) -> Column:
     """Distinct hashes of a line's shingles; it has one at least.  The code is bound to a name, as it would else be copied for every shingle."""
-    hashes = f"transform(sequence(1, octet_length(c) - {4 * SHINGLE - 1}, 4), p -> xxhash64(substring(c, p, {4 * SHINGLE})))"
+    hashes = f"transform(sequence(1, octet_length(c) - {WIDE * SHINGLE - 1}, {WIDE}), p -> xxhash64(substring(c, p, {WIDE * SHINGLE})))"
     return F.expr(f"array_distinct(element_at(transform(array({code}), c -> {hashes}), 1))")
 
 
@@ -120,10 +139,32 @@ def _jaccard(x: str, y: str) -> Column:
     return (F.size(x) + F.size(y) - either) / either
 
 
+def _apart() -> Column:
+    """Bits that differ between lines x and y, which are never more than the shingles that differ."""
+    return sum((F.bit_count(F.col(f"x.b{j}").bitwiseXOR(F.col(f"y.b{j}"))) for j in range(BITMAP)), F.lit(0))
+
+
 def _near(threshold: float) -> Column:
     """Whether bitmaps leave it open that lines x and y are similar: similar sets differ by a bounded share of their sizes."""
-    apart = sum((F.bit_count(F.col(f"x.b{j}").bitwiseXOR(F.col(f"y.b{j}"))) for j in range(BITMAP)), F.lit(0))
-    return apart <= (F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    return _apart() <= (F.col("x.size") + F.col("y.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
+def _met(members: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """x, y of lines in different groups, one outside its bucket's largest, which the bitmaps leave open, joined in cells of CELL lines a side."""
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    sides = members.select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = sides.where("apart").select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "part", "of"))
+    y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
+    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
+    return x.alias("x").join(y.alias("y"), met)
+
+
+def _nearest(met: DataFrame) -> DataFrame:
+    """Pairs a, b of each line outside the largest group with the nearest inside it, and with the nearest outside."""
+    near = F.struct((_apart() / (F.col("x.size") + F.col("y.size"))).alias("far"), F.col("y.line_id").alias("b"))
+    found = met.groupBy(F.col("x.line_id").alias("a")).agg(F.array(*(F.min(F.when(F.col("y.apart") if out else ~F.col("y.apart"), near)) for out in (False, True))).alias("near"))
+    return found.select("a", F.explode("near").alias("near")).where("near is not null").select("a", F.col("near.b").alias("b"))
 
 
 def _links(lines: DataFrame, threshold: float) -> DataFrame:
@@ -157,19 +198,10 @@ def _links(lines: DataFrame, threshold: float) -> DataFrame:
         crowded = members.where(F.col("strays") > CROWD)
         if turn == TURNS or crowded.isEmpty():
             break
-        by = lambda i: F.min(F.when(F.col("apart"), F.struct(F.xxhash64("line_id", F.lit(i)).alias("hash"), "line_id", "group")))
-        heads = crowded.groupBy("band").agg(F.array(*(by(HEADS * turn + i) for i in range(HEADS))).alias("heads")).select("band", F.explode("heads").alias("head"))
-        met = crowded.join(heads, "band").where(F.col("group") != F.col("head.group"))
-        found = found.unionByName(verified(bounded(met.select(F.col("line_id").alias("a"), F.col("head.line_id").alias("b")))))
+        found = found.unionByName(verified(written(_nearest(_met(crowded, facts, threshold)))))
         members = members.select("line_id", "band")
     # every line outside the bucket's largest group meets all of the bucket
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    sides = members.select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = sides.where("apart").select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "part", "of"))
-    y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
-    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
-    pairs = x.alias("x").join(y.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
+    pairs = _met(members, facts, threshold).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
     return found.unionByName(verified(written(pairs)))
 
 
@@ -204,9 +236,10 @@ def _deduped(documents: DataFrame, threshold: float) -> DataFrame:
     marks = _Marks(removed.select("key"))
     rows = documents.select(key.alias("key"), row_of(documents))
     hit = marks.among(rows, "key").join(removed, "key", "left")
-    own = F.split("row.text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("places"))
-    shorter = F.col("row").withField("text", F.array_join(F.transform(left, lambda i: own[i]), "\n"))
+    # the lines are bound to a name, as the text would else be split anew for every line
+    left = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("places"))
+    joined = F.transform(F.array(F.split("row.text", "\n")), lambda own: F.array_join(F.transform(left(own), lambda i: own[i]), "\n"))[0]
+    shorter = F.col("row").withField("text", joined)
     hit = hit.select(F.when(F.col("places").isNull(), F.col("row")).otherwise(shorter).alias("row"), F.coalesce(F.array_size("places"), F.lit(0)).cast("long").alias("n_removed"))
     return hit.unionByName(marks.among(rows, "key", False).select("row", F.lit(0).cast("long").alias("n_removed")))
 
