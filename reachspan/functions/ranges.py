@@ -8,22 +8,48 @@ from pyspark.sql import functions as F
 from reachspan.matrix import BoolMatrix
 
 
-def coalesce_ranges(df: DataFrame) -> DataFrame:
-    """Canonical intervals of each row: overlapping, nested and adjacent ones become one.
+#: Columns of one block of a row, as a power of two: a row's block holds at most half as many intervals apart.
+COLUMN_BITS = 18
+
+
+def _coalesced(df: DataFrame, *keys: str) -> DataFrame:
+    """Canonical intervals within each group of keys.
 
     The running maximum of ends, not the end before, tells where a new interval begins, as intervals may be nested.
-    One shuffle: the aggregate reuses the window's partitioning by row.
+    One shuffle: the aggregate reuses the window's partitioning.
+    """
+    before = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    marked = df.select(*keys, "lo", "hi", F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("long").alias("_new"))
+    return marked.withColumn("_run", F.sum("_new").over(upto)).groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
+def carried(df: DataFrame, end: str) -> DataFrame:
+    """row, _block, _end, _carry: of each row's blocks the largest end, and that of all blocks before; one row a block, not an interval."""
+    ends = df.groupBy("row", "_block").agg(F.max(end).alias("_end"))
+    before = Window.partitionBy("row").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("row", "_block", "_end", F.max("_end").over(before).alias("_carry"))
+
+
+def coalesce_ranges(df: DataFrame, ncols: int | None = None, bits: int = COLUMN_BITS) -> DataFrame:
+    """Canonical intervals of each row: overlapping, nested and adjacent ones become one.
+
+    Rows of at most 2**bits columns are a window each.  Longer ones are cut into blocks of so many columns by where intervals begin, so that a
+    row with many intervals is the work of many tasks: intervals are made canonical within blocks; then each block learns how far those before it
+    reach.  What lies within that reach is dropped, what begins beyond it and is not its block's last is done, and the rest, at most two intervals a
+    block, is stitched by a second window.
     """
-    before = Window.partitionBy("row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max("hi").over(before)
-    marked = df.select("row", "lo", "hi", F.coalesce(F.col("lo") > reach + 1, F.lit(True)).cast("long").alias("_new"))
-    return marked.withColumn("_run", F.sum("_new").over(upto)).groupBy("row", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    if ncols is not None and ncols <= 1 << bits:
+        return _coalesced(df, "row")
+    own = _coalesced(df.select("row", "lo", "hi", F.shiftright("lo", bits).alias("_block")), "row", "_block")
+    told = own.join(carried(own, "hi"), ["row", "_block"]).where("_carry is null or hi > _carry")
+    done = (F.col("_carry").isNull() | (F.col("lo") > F.col("_carry") + 1)) & (F.col("hi") < F.col("_end"))
+    return told.where(done).select("row", "lo", "hi").unionByName(_coalesced(told.where(~done), "row"))
 
 
-def to_ranges(df: DataFrame) -> DataFrame:
+def to_ranges(df: DataFrame, ncols: int | None = None) -> DataFrame:
     """Intervals of cells (row, col); repeated cells count once."""
-    return coalesce_ranges(df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")))
+    return coalesce_ranges(df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), ncols)
 
 
 def to_basic(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,18 @@ PAIRS = "i long, j long"
 COLUMNS = {"basic": ["row", "col"], "ranges": ["row", "lo", "hi"]}
 
 
+@dataclass(frozen=True)
+class Sizes:
+    entries: int
+    cells: int
+    longest: int
+
+    @property
+    def mean(self) -> float:
+        """Cells of an average entry."""
+        return self.cells / self.entries if self.entries else 0.0
+
+
 @dataclass(frozen=True)
 class BoolMatrix:
     """`df` holds distinct cells (row, col), or canonical intervals (row, lo, hi), hi included: sorted apart and never adjacent.
@@ -25,6 +37,8 @@ class BoolMatrix:
     nrows: int
     ncols: int
     encoding: str
+    #: What is known of the entries once they are written: their number, their cells, the longest one.
+    sizes: Sizes | None = field(default=None, compare=False)
 
     def __post_init__(self):
         if self.encoding not in COLUMNS:
@@ -40,6 +54,13 @@ class BoolMatrix:
     def with_df(self, df: DataFrame, encoding: str | None = None) -> BoolMatrix:
         return BoolMatrix(df, self.nrows, self.ncols, encoding or self.encoding)
 
+    def measured(self) -> Sizes:
+        """Its sizes: known if it was written, else by one aggregate."""
+        if self.sizes is not None:
+            return self.sizes
+        length = F.lit(1).cast("long") if self.encoding == "basic" else F.col("hi") - F.col("lo") + 1
+        return Sizes(*self.df.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0)), F.coalesce(F.max(length), F.lit(0))).first())
+
     def nnz(self) -> int:
         """Number of true cells."""
         from reachspan.functions.ranges import nnz
@@ -54,7 +75,7 @@ class BoolMatrix:
     def to_ranges(self) -> BoolMatrix:
         from reachspan.functions.ranges import to_ranges
 
-        return self if self.encoding == "ranges" else self.with_df(to_ranges(self.df), "ranges")
+        return self if self.encoding == "ranges" else self.with_df(to_ranges(self.df, self.ncols), "ranges")
 
     def cached(self, level: str = "MEMORY_AND_DISK") -> BoolMatrix:
         """Persisted at a storage level of Spark: what the buffered and in-core kinds of a matrix are here."""

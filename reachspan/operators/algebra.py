@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ def add(a: BoolMatrix, b: BoolMatrix) -> BoolMatrix:
     if a.shape != b.shape:
         raise ValueError(f"shapes {a.shape} and {b.shape} differ")
     both = a.df.unionByName(b.df)
-    return a.with_df(both.distinct() if a.encoding == "basic" else coalesce_ranges(both))
+    return a.with_df(both.distinct() if a.encoding == "basic" else coalesce_ranges(both, a.ncols))
 
 
 #: Two distance indices are merged as they are added.
@@ -55,8 +55,7 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
         cells = a.df.select("row", F.col("col").alias("_k")).join(b.df.select(F.col("row").alias("_k"), "col"), "_k").select("row", "col").distinct()
         return BoolMatrix(cells, a.nrows, b.ncols, "basic")
     if method == "auto":
-        seen = a.df.agg(F.avg(F.col("hi") - F.col("lo") + 1).alias("mean")).first()
-        method = "dyadic" if (seen.mean or 0) >= LONG else "explode"
+        method = "dyadic" if a.measured().mean >= LONG else "explode"
     right = b.df.select(F.col("row").alias("_k"), "lo", "hi")
     if method == "explode":
         joined = a.df.select("row", F.explode(F.sequence("lo", "hi")).alias("_k")).join(right, "_k")
@@ -65,13 +64,13 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
         left = a.df.select("row", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(block("lo"), block("hi"))).alias("_b"))
         joined = left.join(right.withColumn("_b", block("_k")), "_b").where("_k between _lo and _hi")
     elif method == "dyadic":
-        levels = _levels(a.df.agg(F.max(F.col("hi") - F.col("lo") + 1).alias("n")).first().n or 1)
-        joined = _cover(a.df, levels).join(_united(b.df, levels), ["_level", "_b"])
+        levels = _levels(a.measured().longest or 1)
+        joined = _cover(a.df, levels).join(_united(b.df, levels, b.ncols), ["_level", "_b"])
     else:
         raise ValueError(f"unknown method {method!r}")
     # one end for each start and row goes on from every task
     starts = joined.groupBy("row", "lo").agg(F.max("hi").alias("hi"))
-    return BoolMatrix(coalesce_ranges(starts), a.nrows, b.ncols, "ranges")
+    return BoolMatrix(coalesce_ranges(starts, b.ncols), a.nrows, b.ncols, "ranges")
 
 
 def _levels(longest: int) -> int:
@@ -93,36 +92,66 @@ def _cover(ranges: DataFrame, levels: int) -> DataFrame:
     return ranges.select("row", F.inline(F.concat(*(F.coalesce(b, none) for b in [*blocks, top]))))
 
 
-def _united(rows: DataFrame, levels: int) -> DataFrame:
+def _united(rows: DataFrame, levels: int, ncols: int) -> DataFrame:
     """_level, _b, lo, hi: the union of the rows of each block, level by level from the one below."""
     level = rows.select(F.lit(0).alias("_level"), F.col("row").alias("_b"), "lo", "hi")
     out = level
     for n in range(1, levels + 1):
-        level = cut(coalesce_ranges(level.select(F.shiftright("_b", 1).alias("row"), "lo", "hi")).select(F.lit(n).alias("_level"), F.col("row").alias("_b"), "lo", "hi"))
+        level = cut(coalesce_ranges(level.select(F.shiftright("_b", 1).alias("row"), "lo", "hi"), ncols).select(F.lit(n).alias("_level"), F.col("row").alias("_b"), "lo", "hi"))
         out = out.unionByName(level)
     return out
 
 
+#: Cells of an average range under which cells are kept as they are between products, while a row has at most so many.
+COMPACT, FEW = 1.5, 64
+
+
 def power(a: BoolMatrix, k: int) -> BoolMatrix:
-    """A multiplied k times, by squaring; A**0 is the identity.  Every product is written, so plans stay short."""
+    """A multiplied k times, by squaring; A**0 is the identity.  Every product is written, so plans stay short.
+
+    Ranges that are hardly longer than cells are multiplied as cells until rows fill; only the last product makes intervals.
+    """
     if a.nrows != a.ncols:
         raise ValueError("only square matrices have powers")
     if k < 0:
         raise ValueError("the exponent is not negative")
     if k == 0:
         return identity(a.df.sparkSession, a.nrows, a.encoding)
-    result, square = None, a
+    if k == 1:
+        return a
+    encoding, result = a.encoding, None
+    square = a = _written(a)
+    if encoding == "ranges" and a.sizes.mean < COMPACT:
+        square = _written(a.to_basic())
     while True:
         if k & 1:
-            result = square if result is None else _written(multiply(result, square, "auto"))
+            result = square if result is None else _product(result, square, k == 1, encoding)
         k >>= 1
         if not k:
             return result
-        square = _written(multiply(square, square, "auto"))
+        square = _product(square, square, k == 1 and result is None, encoding)
+
+
+def _product(a: BoolMatrix, b: BoolMatrix, last: bool, encoding: str) -> BoolMatrix:
+    """A written product of a power, in its encoding if it is the last or if rows have filled."""
+    if encoding == "ranges" and (last or "ranges" in (a.encoding, b.encoding) or max(a.sizes.cells, b.sizes.cells) > FEW * max(a.nrows, 1)):
+        a, b = _as_ranges(a), _as_ranges(b)
+    return _written(multiply(a, b, "auto"))
+
+
+def _as_ranges(m: BoolMatrix) -> BoolMatrix:
+    """Cells as ranges of one column, which may be adjacent: for operands only, as products come out canonical."""
+    if m.encoding == "ranges":
+        return m
+    return BoolMatrix(m.df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), m.nrows, m.ncols, "ranges", m.sizes)
 
 
 def _written(m: BoolMatrix) -> BoolMatrix:
-    return m.with_df(cut(m.df))
+    """The matrix on disk, with its sizes; one that was written is not written again."""
+    if m.sizes is not None:
+        return m
+    held = m.with_df(cut(m.df))
+    return BoolMatrix(held.df, m.nrows, m.ncols, m.encoding, held.measured())
 
 
 def shift(m: BoolMatrix, rows: int, cols: int) -> DataFrame:
@@ -144,6 +173,26 @@ def from_blocks(nrows: int, ncols: int, blocks: Iterable[tuple[BoolMatrix, int,
     return BoolMatrix(parts[0], nrows, ncols, encoding)
 
 
+def from_provider(corners: DataFrame, provider: Callable[..., Iterable[tuple[int, int, int]]], nrows: int, ncols: int) -> BoolMatrix:
+    """A matrix of blocks that a function makes on the executors: one call for each row of `corners`, whose columns are its arguments.
+
+    The first two arguments are a block's first row and column; it gives ranges (row, lo, hi) counted from there, one at a time.  Blocks do not overlap; a range beyond the
+    matrix is an error when it runs.  The driver sees neither corners nor blocks.
+    """
+
+    class Blocks:
+        def eval(self, row: int, col: int, *more):
+            for r, lo, hi in provider(row, col, *more):
+                if not (0 <= row + r < nrows and 0 <= col + lo <= col + hi < ncols):
+                    raise ValueError("a block reaches beyond the matrix")
+                yield row + r, col + lo, col + hi
+
+    made = F.udtf(Blocks, returnType="row long, lo long, hi long")
+    names = [f"_{i}" for i in range(len(corners.columns))]
+    blocks = corners.toDF(*names).lateralJoin(made(*(F.col(c).outer() for c in names)))
+    return BoolMatrix(blocks.select("row", "lo", "hi"), nrows, ncols, "ranges")
+
+
 def from_cells(df: DataFrame, nrows: int, ncols: int, row: str = "row", col: str = "col") -> BoolMatrix:
     """A matrix of any table of cells; repeated cells count once, cells outside of the shape are an error when it runs."""
     cells = df.select(F.col(row).cast("long").alias("row"), F.col(col).cast("long").alias("col")).where("row is not null and col is not null")

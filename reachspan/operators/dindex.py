@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachspan.functions.ranges import coalesce_ranges
+from reachspan.functions.ranges import carried, coalesce_ranges
 from reachspan.matrix import BoolMatrix
-from reachspan.operators.algebra import _written, add, identity, multiply, power
+from reachspan.operators.algebra import COMPACT, _written, add, identity, multiply, power
 from reachspan.operators.graph import Graph, locus_offsets
 
 
@@ -15,18 +17,98 @@ from reachspan.operators.graph import Graph, locus_offsets
 BLOCK_BITS = 6
 
 
-def create_distance_index(a: BoolMatrix, d1: int, d2: int) -> BoolMatrix:
-    """A**d1 (A + I)**(d2 - d1), in the encoding of A: log2(d1) + log2(d2 - d1) products and one more."""
+#: Rows that a job may as well handle for what it costs to start; entries that a size estimate looks at; bits of its sketches.
+JOB_ROWS, SAMPLED, SKETCH_BITS = 200_000, 100_000, 12
+#: Steps of more than this are never taken one by one.
+MAX_STEPS = 32
+
+
+def create_distance_index(a: BoolMatrix, d1: int, d2: int, method: str = "auto") -> BoolMatrix:
+    """A**d1 (A + I)**(d2 - d1), in the encoding of A.
+
+    method: doubling takes log2(d1) + log2(d2 - d1) products and one more; steps takes the second factor one step at a time, over
+    the pairs that the step before has found first; auto estimates which of them makes fewer rows (`steps_pay`).
+    """
     if not 0 <= d1 <= d2 or d2 == 0:
         raise ValueError("bounds need 0 <= d1 <= d2 and d2 > 0")
     if a.nrows != a.ncols:
         raise ValueError("an adjacency matrix is square")
-    if d1 == d2:
+    if method not in ("auto", "doubling", "steps"):
+        raise ValueError(f"unknown method {method!r}")
+    a, more = _written(a), d2 - d1
+    if more == 0:
         return power(a, d1)
-    up = power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), d2 - d1)
+    up = _written(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)))
+    if more > 1 and (method == "steps" or method == "auto" and steps_pay(up, more)):
+        return _stepped(a, d1, more)
+    up = power(up, more)
     return up if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
 
 
+def product_size(a: BoolMatrix, b: BoolMatrix) -> float:
+    """About how many cells the product of two matrices has.
+
+    The product's cells are only counted, by a distinct-count sketch for each block of rows, which merge within and across tasks: no cell is shuffled
+    after the join.  A large left operand is judged by the rows whose hashes choose them, about SAMPLED of its entries.
+    """
+    every = max(1, a.measured().entries // SAMPLED)
+    left = a.to_basic().df.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("row", F.col("col").alias("_k"))
+    joined = left.join(b.to_basic().df.select(F.col("row").alias("_k"), "col"), "_k")
+    sketches = joined.groupBy(F.shiftright("row", 16).alias("_rows")).agg(F.hll_sketch_agg(F.xxhash64("row", "col"), SKETCH_BITS).alias("sketch"))
+    return every * (sketches.agg(F.sum(F.hll_sketch_estimate("sketch")).alias("n")).first().n or 0)
+
+
+def steps_pay(up: BoolMatrix, steps: int) -> bool:
+    """Whether (A + I)**steps is cheaper by single steps than by squaring A + I.
+
+    Long ranges stay few by squaring.  Else the cells a row at one and at two steps give the power by which they grow, and so the rows that
+    each way joins and compares.
+    """
+    sizes = up.measured()
+    if steps > MAX_STEPS or not sizes.entries or up.encoding == "ranges" and sizes.mean >= COMPACT:
+        return False
+    rows = max(up.nrows, 1)
+    one = max(sizes.cells / rows - 1, 1e-9)
+    two = max(product_size(up, up) / rows - 1, one)
+    growth = math.log2(two / one)
+    size = lambda t: 1 + one * t**growth
+    stepping = sum((size(t) - size(t - 1) * (t > 1)) * one + size(t) for t in range(1, steps)) * rows + 2 * JOB_ROWS * (steps - 1)
+    squaring, done, t, k = 0.0, 0, 1, steps
+    while k:
+        if k & 1:
+            squaring += size(done) * size(t) * rows + JOB_ROWS if done else 0
+            done += t
+        k >>= 1
+        squaring += size(t) ** 2 * rows + JOB_ROWS if k else 0
+        t *= 2
+    return stepping < squaring
+
+
+def _stepped(a: BoolMatrix, d1: int, more: int) -> BoolMatrix:
+    """A**d1 (A + I)**more by cells: each step goes on from the pairs that were not there before it."""
+    step = _written(a.to_basic())
+    if d1 == 0:
+        # no step and one step
+        found = identity(a.df.sparkSession, a.nrows, "basic").df
+        new = step.with_df(step.df.where("row <> col"))
+        found, more = found.unionByName(new.df), more - 1
+    else:
+        new = _written(power(step, d1))
+        found = new.df
+    for left in range(more, 0, -1):
+        reached = multiply(new, step)
+        if left == 1 and a.encoding == "ranges":
+            # intervals are made of all of them, so the last step need not tell new ones
+            found = found.unionByName(reached.df)
+            break
+        new = _written(reached.with_df(reached.df.join(found, ["row", "col"], "left_anti")))
+        if not new.sizes.entries:
+            break
+        found = found.unionByName(new.df)
+    cells = step.with_df(found)
+    return _written(cells if a.encoding == "basic" else cells.to_ranges())
+
+
 def compress_distance_index(index: BoolMatrix, graph: Graph) -> BoolMatrix:
     """Without the pairs of which both lie in one node; for a whole-graph index, in either encoding."""
     # nodes and rows meet in blocks of loci, so that nodes are not expanded
@@ -41,24 +123,67 @@ def compress_distance_index(index: BoolMatrix, graph: Graph) -> BoolMatrix:
     return index.with_df(joined.select("row", F.inline(F.array(before, after))).where("lo <= hi"))
 
 
-def query(index: BoolMatrix, pairs: DataFrame, out_of_range: str = "false") -> DataFrame:
-    """pairs (i, j) with `hit`: one join on the row, whatever the number of pairs.
+#: Columns of a block of lookups, as a power of two, and intervals of one row from which rows are cut into blocks.
+LOOKUP_BITS, HUB = 16, 4096
+
+
+def query(index: BoolMatrix, pairs: DataFrame, out_of_range: str = "false", method: str = "auto") -> DataFrame:
+    """pairs (i, j) with `hit`; repeated pairs are answered each, pairs with a null are false.
 
-    out_of_range: `false` answers false beyond the shape, `raise` fails when it runs.  Intervals are disjoint, so a pair
-    keeps its one row; repeated pairs are answered each.
+    out_of_range: `false` answers false beyond the shape, `raise` fails when it runs.
+    method: join is one join on the row; a row with m intervals and n pairs takes m * n tests.  asof sorts both by place and takes the last interval
+    that starts before a pair, by blocks of columns.  auto takes asof if some row has more than HUB intervals, which costs a count by rows; streams and cells are joined.
     """
     if out_of_range not in ("false", "raise"):
         raise ValueError(f"unknown choice {out_of_range!r}")
+    if method not in ("auto", "join", "asof"):
+        raise ValueError(f"unknown method {method!r}")
     asked = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     if out_of_range == "raise":
         inside = F.col("i").between(0, index.nrows - 1) & F.col("j").between(0, index.ncols - 1)
         asked = asked.withColumn("i", F.when(inside, F.col("i")).otherwise(F.raise_error(F.lit("index out of range")).cast("long")))
+    if _by_place(index, pairs, method):
+        return asof(index, asked)
     on = (F.col("row") == F.col("i")) & (F.col("col") == F.col("j") if index.encoding == "basic" else F.col("j").between(F.col("lo"), F.col("hi")))
     return asked.join(index.df, on, "left").select("i", "j", F.col("row").isNotNull().alias("hit"))
 
 
-def hits(index: BoolMatrix, pairs: DataFrame) -> DataFrame:
-    """The pairs that are true, as a semi-join."""
+def _by_place(index: BoolMatrix, pairs: DataFrame, method: str) -> bool:
+    if index.encoding == "basic" or pairs.isStreaming or method == "join":
+        return False
+    return method == "asof" or (index.df.groupBy("row").count().agg(F.max("count").alias("n")).first().n or 0) > HUB
+
+
+def asof(index: BoolMatrix, pairs: DataFrame, bits: int = LOOKUP_BITS) -> DataFrame:
+    """i, j, hit of pairs (i, j) by an as-of join with an index of ranges.
+
+    Intervals and distinct pairs are united and sorted by place within (row, block of 2**bits columns), so no key holds more than a block's columns
+    twice, however many intervals or pairs a row has.  Intervals are disjoint: only the last one that starts before a pair can hold it.  If none starts
+    within the block, it is the last of the blocks before, of which each block knows how far it reaches.
+    """
+    asked = pairs.groupBy("i", "j").agg(F.count("*").alias("n"))
+    starts = index.df.select("row", F.col("lo").alias("place"), "hi", F.lit(0).cast("long").alias("n"))
+    points = asked.select(F.col("i").alias("row"), F.col("j").alias("place"), F.lit(None).cast("long").alias("hi"), "n")
+    both = starts.unionByName(points).withColumn("_block", F.shiftright("place", bits))
+    # at one place the interval comes first, as its n is 0
+    upto = Window.partitionBy("row", "_block").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_reach", F.max("hi").over(upto)).where("n > 0")
+    reach = carried(both, "hi").select(F.col("row").alias("_row"), F.col("_block").alias("_of"), "_carry")
+    told = placed.join(reach, (F.col("row") == F.col("_row")) & (F.col("_block") == F.col("_of")), "left")
+    hit = F.coalesce(F.greatest("_reach", "_carry") >= F.col("place"), F.lit(False))
+    # copies of a pair in two steps, so that no array is longer than the root of their number
+    root = F.ceil(F.sqrt("n")).cast("long")
+    some = told.select(F.col("row").alias("i"), F.col("place").alias("j"), hit.alias("hit"), "n", root.alias("root"), F.explode(F.sequence(F.lit(0), root - 1)).alias("part"))
+    many = some.withColumn("copies", F.least("root", F.col("n") - F.col("part") * F.col("root"))).where("copies > 0")
+    return many.select("i", "j", "hit", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
+def hits(index: BoolMatrix, pairs: DataFrame, method: str = "auto") -> DataFrame:
+    """The pairs that are true, with all their columns; methods as in `query`."""
+    if _by_place(index, pairs, method):
+        asked = pairs.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j")).distinct()
+        found = asof(index, asked.toDF("i", "j")).where("hit").select(F.col("i").alias("_i"), F.col("j").alias("_j"))
+        return pairs.join(found, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left_semi")
     on = (F.col("row") == F.col("i")) & (F.col("col") == F.col("j") if index.encoding == "basic" else F.col("j").between(F.col("lo"), F.col("hi")))
     return pairs.join(index.df, on, "left_semi")
 
@@ -78,4 +203,4 @@ def stepwise_index(a: BoolMatrix, d1: int, d2: int) -> BoolMatrix:
     for _ in range(d2 - d1):
         step = _written(multiply(step, a.to_basic()))
         found = found.with_df(found.df.unionByName(step.df))
-    return found.with_df(coalesce_ranges(found.df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi"))), "ranges")
+    return found.with_df(coalesce_ranges(found.df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), a.ncols), "ranges")

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import warnings
-from collections import deque
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachspan.functions.indexing import numbered
 from reachspan.functions.ranges import prefix_sum
 from reachspan.matrix import BoolMatrix
+from reachspan.operators.ordering import cuthill_mckee, min_breaks, topological
 from reachspan.runtime import cut
 
-#: Nodes and edges that an ordering may hold in one task.
-MAX_ORDERED = 5_000_000
-
 
 @dataclass(frozen=True)
 class Graph:
@@ -131,80 +127,21 @@ def region_nodes_rank_range(graph: Graph, path: str = "", segment: str = "") ->
 def order_nodes(graph: Graph, ordering: str = "min-breaks", seed: int = 1) -> Graph:
     """Ranks by another order of nodes.  Indices are equal up to that renumbering; the number of intervals differs.
 
-    native: as they are.  random: by a hash with the seed.  topological: sources first; on a cycle the lowest rank goes first.
-    cuthill-mckee: breadth first from nodes of low degree, neighbours by degree.  min-breaks: topological, following each chain as far as it
-    goes, so that neighbours are often adjacent.  The last three hold nodes and edges in one task, up to MAX_ORDERED of each.
+    native: as they are.  random: by a hash with the seed.  topological: by level, the most edges that lead to a node; nodes on a
+    cycle share a level, lowest rank first.  cuthill-mckee: breadth first from nodes of low degree, neighbours by degree.  min-breaks: topological,
+    with each chain of single ways in one piece, so that neighbours are often adjacent.
     """
     if ordering == "native":
         return graph
     if ordering == "random":
         new = numbered(graph.nodes.select("id", F.struct(F.xxhash64("id", F.lit(seed)), "id").alias("_order")), "_order", "_new").select("id", "_new")
-    elif ordering in ("topological", "cuthill-mckee", "min-breaks"):
-        pairs = _ranked(graph)
-        if max(graph.nodes.count(), pairs.count()) > MAX_ORDERED:
-            raise ValueError(f"this ordering takes at most {MAX_ORDERED} nodes and edges")
-        edges = pairs.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("a", "b")).alias("edges"))
-        ranks = graph.nodes.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-
-        def ordered(frames):
-            for frame in frames:
-                for ranks_, edges_ in zip(frame["ranks"], frame["edges"], strict=True):
-                    order = _ORDERS[ordering]([int(r) for r in ranks_], [(e["a"], e["b"]) for e in (edges_ if edges_ is not None else [])])
-                    yield pd.DataFrame({"rank": order, "_new": range(1, len(order) + 1)})
-
-        ranked = ranks.join(edges, "one", "left").mapInPandas(ordered, "rank long, _new long")
-        new = graph.nodes.select("id", "rank").join(ranked, "rank").select("id", "_new")
+    elif ordering in _ORDERS:
+        ranks = cut(graph.nodes.select("id", "rank"))
+        placed = _ORDERS[ordering](ranks.select("rank"), cut(_ranked(graph)))
+        new = ranks.join(placed, "rank").select("id", F.col("place").alias("_new"))
     else:
         raise ValueError(f"unknown ordering {ordering!r}")
     return Graph(graph.nodes.drop("rank").join(new, "id").select(F.col("_new").alias("rank"), "id", "name", "len"), graph.edges, graph.paths)
 
 
-def _peeled(ranks: list[int], edges: list[tuple[int, int]], follow: bool) -> list[int]:
-    out: dict[int, list[int]] = {r: [] for r in ranks}
-    missing = dict.fromkeys(ranks, 0)
-    for a, b in sorted(edges):
-        out[a].append(b)
-        missing[b] += 1
-    ready, done, order = deque(r for r in ranks if not missing[r]), set(), []
-    rest = iter(ranks)
-    while len(order) < len(ranks):
-        while ready and ready[0] in done:
-            ready.popleft()
-        node = ready.popleft() if ready else next(r for r in rest if r not in done)
-        done.add(node)
-        order.append(node)
-        free = []
-        for b in out[node]:
-            missing[b] -= 1
-            if missing[b] == 0 and b not in done:
-                free.append(b)
-        if follow:
-            ready.extendleft(reversed(free))
-        else:
-            ready.extend(free)
-    return order
-
-
-def _cuthill_mckee(ranks: list[int], edges: list[tuple[int, int]]) -> list[int]:
-    beside: dict[int, set[int]] = {r: set() for r in ranks}
-    for a, b in edges:
-        if a != b:
-            beside[a].add(b)
-            beside[b].add(a)
-    degree = lambda r: (len(beside[r]), r)
-    seen, order = set(), []
-    for root in sorted(ranks, key=degree):
-        if root in seen:
-            continue
-        seen.add(root)
-        ahead = deque([root])
-        while ahead:
-            node = ahead.popleft()
-            order.append(node)
-            near = sorted((r for r in beside[node] if r not in seen), key=degree)
-            seen.update(near)
-            ahead.extend(near)
-    return order
-
-
-_ORDERS = {"topological": lambda r, e: _peeled(r, e, False), "min-breaks": lambda r, e: _peeled(r, e, True), "cuthill-mckee": _cuthill_mckee}
+_ORDERS = {"topological": topological, "min-breaks": min_breaks, "cuthill-mckee": cuthill_mckee}

@@ -46,3 +46,19 @@ def conversations_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = nodes.select(F.col("id").alias("src"), following.alias("dst")).where("dst is not null")
     paths = nodes.select(F.col("conv_id").cast("string").alias("name"), F.col("turn").cast("int").alias("pos"), F.col("id").alias("node"))
     return Graph(nodes.select("rank", "id", "name", "len"), edges, paths)
+
+
+def events_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Events as nodes of one locus, ranked by type and id, and the steps of `events_matrix`: a branching graph without cycles whose ranks do not follow its edges."""
+    m = events_matrix(spark, sf_dir)
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 1).cast("long").alias("id"), "event_type")
+    placed = numbered(events.withColumn("_order", F.struct("event_type", "id")), "_order", "rank")
+    nodes = cut(placed.select("rank", "id", F.col("id").cast("string").alias("name"), F.lit(1).cast("long").alias("len")))
+    return Graph(nodes, m.df.select((F.col("row") + 1).alias("src"), (F.col("col") + 1).alias("dst")))
+
+
+def orders_row(spark: SparkSession, sf_dir: str) -> BoolMatrix:
+    """One row with an interval for each order, from ten times its key, by its customer up to eight columns long; and a second row without any."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10).cast("long").alias("lo"), (F.col("o_custkey") % 8).alias("more"))
+    n = orders.agg(F.coalesce(F.max("lo") + 10, F.lit(0)).alias("n")).first().n
+    return BoolMatrix(orders.select(F.lit(0).alias("row"), "lo", (F.col("lo") + F.col("more")).alias("hi")), 2, n, "ranges")

@@ -341,10 +341,17 @@ def csr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.from_csr_tables(*storage.to_csr(m), m.ncols, "ranges").df
 
 
-@_query('SELECT * FROM (VALUES (0, 2, 3), (1, 0, 0), (1, 2, 2)) t("row", lo, hi)'.replace("SELECT *", 'SELECT CAST("row" AS BIGINT) AS "row", CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi'))
+_NATIONS = 'cells AS (SELECT CAST(n_regionkey AS BIGINT) AS "row", CAST(n_nationkey AS BIGINT) AS col FROM nation)'
+
+
+@_query(f"WITH {_NATIONS} {_islands('cells')}")
 def csr_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays that the driver holds."""
-    return storage.from_csr(spark, 4, [2, 3, 0, 0, 2, 2], [0, 2, 6, 6], "ranges").df
+    """Arrays that the driver holds: which nations a region has."""
+    nation = derived.table(spark, sf_dir, "nation")
+    size = nation.agg(F.max("n_regionkey") + 1, F.max("n_nationkey") + 1).first()
+    entries, rows = storage.to_csr(A.from_cells(nation, size[0], size[1], "n_regionkey", "n_nationkey").to_ranges())
+    ends = [r.end for r in rows.orderBy("row").collect()]
+    return storage.from_csr(spark, size[1], [r.entry for r in entries.orderBy("place").collect()], [0, *ends], "ranges").df
 
 
 @_query(f"WITH {_CELLS} SELECT * FROM cells")
@@ -361,17 +368,31 @@ def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.bool_and(F.col("i").between(0, 99) & F.col("j").between(0, 99)).alias("inside"), F.lit(equal).alias("again"))
 
 
-@_query("SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS cells, true AS inside FROM (VALUES (0), (40), (2000), (2500)) t(n)")
+_SIZES = "(SELECT count(*) AS k FROM nation) t, (SELECT count(*) AS r FROM region) u"
+
+
+@_query(f"SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS cells, true AS inside FROM (SELECT unnest([0, r, k * k // 2, k * k]) AS n FROM {_SIZES})")
 def random_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse, dense and full matrices of 50 rows, with values from one to two: as many distinct cells as asked for."""
+    """Empty, sparse, half and full matrices with as many rows as nations and values from one to two: as many distinct cells as asked for."""
+    k, r = derived.table(spark, sf_dir, "nation").count(), derived.table(spark, sf_dir, "region").count()
     parts = []
-    for n in (0, 40, 2000, 2500):
-        m = generate.random_matrix(spark, 50, n, 1.0, 2.0, seed=n)
-        inside = F.col("row").between(0, 49) & F.col("col").between(0, 49) & (F.col("value") >= 1) & (F.col("value") < 2)
+    for n in (0, r, k * k // 2, k * k):
+        m = generate.random_matrix(spark, k, n, 1.0, 2.0, seed=n)
+        inside = F.col("row").between(0, k - 1) & F.col("col").between(0, k - 1) & (F.col("value") >= 1) & (F.col("value") < 2)
         parts.append(m.agg(F.lit(n).cast("long").alias("n"), F.count_distinct("row", "col").alias("cells"), F.coalesce(F.bool_and(inside), F.lit(True)).alias("inside")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@_query("SELECT (SELECT count(*) FROM orders) AS n, count(*) AS cells, count(*) AS places, true AS inside, true AS again FROM lineitem")
+def random_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix with a row for each order and a cell for each line item, drawn by blocks of rows, and drawn again."""
+    n, nnz = derived.table(spark, sf_dir, "orders").count(), derived.table(spark, sf_dir, "lineitem").count()
+    m, again = (generate.random_binary_matrix(spark, n, nnz, seed=9).df for _ in range(2))
+    total = lambda df: df.agg(F.sum(F.xxhash64("row", "col").cast("decimal(38,0)")).alias("s")).first().s
+    inside = F.bool_and(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1))
+    return m.agg(F.lit(n).cast("long").alias("n"), F.count("*").alias("cells"), F.count_distinct("row", "col").alias("places"), inside.alias("inside"), F.lit(total(m) == total(again)).alias("again"))
+
+
 # -- more of graphs --------------------------------------------------------------------------------------------------
 
 
@@ -517,3 +538,143 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         except IndexError:
             rows.append((i, j, False, True))
     return spark.createDataFrame(rows, "i long, j long, hit boolean, refused boolean")
+
+
+# -- long rows, planned indices, branching graphs, stored buckets -----------------------------------------------------
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS i, CAST(l_orderkey * 10 + l_partkey % 10 AS BIGINT) AS j, l_partkey % 10 <= o_custkey % 8 AS hit FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 1, CAST(l_orderkey AS BIGINT), false FROM lineitem")
+def lookup_hub_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair for each line item in the one row that holds all orders' intervals, and as many in an empty row."""
+    lines = derived.table(spark, sf_dir, "lineitem")
+    asked = lines.select(F.lit(0).alias("i"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("j")).unionByName(lines.select(F.lit(1).alias("i"), F.col("l_orderkey").alias("j")))
+    return D.query(derived.orders_row(spark, sf_dir), asked, method="asof")
+
+
+@_query("SELECT CAST(l_orderkey * 10 + l_partkey % 10 AS BIGINT) AS j, CAST(l_linenumber AS BIGINT) AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 10 <= o_custkey % 8")
+def hits_hub_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of `lookup_hub_row` that are held, with another column; auto finds the long row."""
+    lines = derived.table(spark, sf_dir, "lineitem").select(F.lit(0).alias("i"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).cast("long").alias("j"), F.col("l_linenumber").cast("long").alias("line"))
+    return D.hits(derived.orders_row(spark, sf_dir), lines).select("j", "line")
+
+
+@_query("""WITH s AS (SELECT o_orderkey * 10 AS lo, o_orderkey * 10 + o_custkey % 8 AS hi FROM orders UNION ALL SELECT l_partkey * 50, l_partkey * 50 + l_suppkey % 60 FROM lineitem),
+m AS (SELECT lo, hi, coalesce(lo > max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) AS fresh FROM s),
+g AS (SELECT lo, hi, sum(CAST(fresh AS INT)) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT CAST(0 AS BIGINT) AS "row", CAST(min(lo) AS BIGINT) AS lo, CAST(max(hi) AS BIGINT) AS hi FROM g GROUP BY g""")
+def add_hub_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with all orders' intervals and one with all parts' of line items, which overlap, nest and touch, made one by blocks of columns."""
+    first = derived.orders_row(spark, sf_dir)
+    lines = derived.table(spark, sf_dir, "lineitem").select(F.lit(0).alias("row"), (F.col("l_partkey") * 50).alias("lo"), (F.col("l_partkey") * 50 + F.col("l_suppkey") % 60).alias("hi"))
+    return R.coalesce_ranges(first.df.unionByName(lines), bits=10)
+
+
+@_query(_walks(2, 4) + _islands("d"))
+def dindex_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 2, 4, "steps").df
+
+
+@_query(_walks(2, 4) + _islands("d"))
+def dindex_by_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.create_distance_index(derived.events_matrix(spark, sf_dir).to_ranges(), 2, 4, "doubling").df
+
+
+@_query(_walks(2, 2) + "SELECT count(*) AS cells, true AS near FROM d")
+def product_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the events' second power, and whether the estimate from sketches is within a twentieth."""
+    a = A._written(derived.events_matrix(spark, sf_dir))
+    about = D.product_size(a, a)
+    return R.nnz(A.multiply(a, a)).select(F.col("nnz").alias("cells"), (F.abs(F.col("nnz") - about) * 20 <= F.col("nnz")).alias("near"))
+
+
+def _placed_edges(g: G.Graph, o: G.Graph) -> DataFrame:
+    """Edges of a graph with both ranks in another order, a and b, and in its own, x and y."""
+    new, old = o.nodes.select("id", "rank"), g.nodes.select("id", "rank")
+    return g.edges.join(new.toDF("src", "a"), "src").join(new.toDF("dst", "b"), "dst").join(old.toDF("src", "x"), "src").join(old.toDF("dst", "y"), "dst")
+
+
+_WHOLE = "(SELECT count(*) FROM events) AS ranks"
+
+
+def _ranks(o: G.Graph) -> int:
+    """How many ranks there are, if they are whole from 1."""
+    n = o.nodes.agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_distinct("rank").alias("n")).first()
+    return n.n if (n.a, n.b) == (1, n.n) else -1
+
+
+@_query(f'WITH {_EVENTS} SELECT "row" + 1 AS src, col + 1 AS dst, true AS forward, {_WHOLE} FROM a')
+def order_topological_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step between events leads forward, though their ranks were by type."""
+    g = derived.events_graph(spark, sf_dir)
+    o = G.order_nodes(g, "topological")
+    return _placed_edges(g, o).select("src", "dst", (F.col("a") < F.col("b")).alias("forward"), F.lit(_ranks(o)).cast("long").alias("ranks"))
+
+
+@_query(f"""WITH {_EVENTS}, o AS (SELECT "row" FROM a GROUP BY 1 HAVING count(*) = 1), i AS (SELECT col FROM a GROUP BY 1 HAVING count(*) = 1)
+SELECT count(*) AS edges, count(*) FILTER (WHERE "row" IN (SELECT "row" FROM o) AND col IN (SELECT col FROM i)) AS single, true AS forward, true AS together, {_WHOLE} FROM a""")
+def order_min_breaks_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that are the only way out and the only way in lead to the next rank; all lead forward."""
+    g = derived.events_graph(spark, sf_dir)
+    o = G.order_nodes(g, "min-breaks")
+    placed = _placed_edges(g, o)
+    out, into = placed.groupBy("src").agg(F.count("*").alias("n_out")), placed.groupBy("dst").agg(F.count("*").alias("n_in"))
+    told = placed.join(out, "src").join(into, "dst").withColumn("single", (F.col("n_out") == 1) & (F.col("n_in") == 1))
+    return told.agg(
+        F.count("*").alias("edges"), F.count_if("single").alias("single"), F.bool_and(F.col("a") < F.col("b")).alias("forward"),
+        F.coalesce(F.bool_and(F.when(F.col("single"), F.col("b") == F.col("a") + 1)), F.lit(True)).alias("together"), F.lit(_ranks(o)).cast("long").alias("ranks"),
+    )
+
+
+@_query(f"WITH {_EVENTS} SELECT count(*) AS edges, true AS narrower, {_WHOLE} FROM a")
+def order_cuthill_mckee_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest distance of an edge's ranks is smaller than by type."""
+    g = derived.events_graph(spark, sf_dir)
+    o = G.order_nodes(g, "cuthill-mckee")
+    far = lambda p, q: F.max(F.abs(F.col(p) - F.col(q)))
+    return _placed_edges(g, o).agg(F.count("*").alias("edges"), (far("a", "b") < far("x", "y")).alias("narrower"), F.lit(_ranks(o)).cast("long").alias("ranks"))
+
+
+@_query(f"WITH {_CELLS} SELECT l_orderkey AS i, l_partkey + l_linenumber % 2 AS j, EXISTS (SELECT 1 FROM cells WHERE \"row\" = l_orderkey AND col = l_partkey + l_linenumber % 2) AS hit FROM lineitem")
+def lookup_stored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups on a matrix that is stored in buckets by row."""
+    path = _folder(spark, "buckets")
+    storage.save(derived.orders_parts(spark, sf_dir).to_ranges(), path, buckets=8)
+    lines = derived.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("j"))
+    return D.query(storage.load(spark, path), lines, method="join")
+
+
+@_query(f"WITH {_CELLS}, r AS ({_islands('cells')}), n AS (SELECT max(\"row\") + 1 AS n FROM cells) SELECT CAST(8 * ((SELECT count(*) FROM cells) + n + 2) AS BIGINT) AS basic, CAST(8 * (2 * (SELECT count(*) FROM r) + n + 2) AS BIGINT) AS ranges, true AS smaller FROM n")
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as flat arrays in each encoding, and whether the stored files of both are smaller."""
+    m = derived.orders_parts(spark, sf_dir)
+    plain, stored = [], []
+    for own in (m, m.to_ranges()):
+        plain.append(storage.plain_size(own))
+        stored.append(storage.size_in_bytes(spark, _stored(spark, own)[0]))
+    return spark.createDataFrame([(*plain, stored[0] < plain[0] and stored[1] < plain[1])], "basic long, ranges long, smaller boolean")
+
+
+def _band(row: int, col: int, n: int):
+    """Two to twelve columns past the diagonal of a block of n rows."""
+    for i in range(n - 2):
+        yield i, i + 2, min(i + 12, n - 1)
+
+
+@_query(_CONVERSATION_INDEX.format(only="") + _islands("d"))
+def provided_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all conversations put together from one block each, which the executors make."""
+    g = derived.conversations_graph(spark, sf_dir)
+    loci = G.locus_offsets(g).join(g.paths.select("name", F.col("node").alias("id")).withColumnRenamed("name", "conv"), "id")
+    corners = loci.groupBy("conv").agg(F.min("start").alias("row"), F.sum("len").alias("n")).select("row", F.col("row").alias("col"), "n")
+    n = G.total_loci(g)
+    return A.from_provider(corners, _band, n, n).df
+
+
+@_query("""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACGTNacgtn]', 'N', 'g') AS s FROM part)
+SELECT CAST(coalesce(sum(length(s) + 1) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, s AS text FROM p WHERE length(s) > 1""")
+def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the names of parts, as FASTA records in several files, stand in the joined sequence."""
+    path = _folder(spark, "fasta")
+    parts = derived.table(spark, sf_dir, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    parts.select(F.explode(F.array(F.concat(F.lit(">"), F.col("p_partkey").cast("string")), F.upper(F.trim("p_name")))).alias("value")).write.text(path)
+    return gfa.fasta_pieces(spark, path).where(F.length("text") > 1)

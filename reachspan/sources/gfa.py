@@ -70,9 +70,11 @@ def write_gfa(graph: Graph, path: str, version: str = "gfa1") -> None:
 def fasta_pieces(spark: SparkSession, fasta: str) -> DataFrame:
     """at, text: the joined sequence of all records in file order, an N after each, by lines; letters other than A, C, G, T and N become N.
 
-    Lines are numbered by file and place, and running sums go over lengths by blocks, so that no task sees all lines.
+    Lines are numbered by file, by the start of their split in it and by their place within the split, however Spark packs splits into tasks; running sums go
+    over lengths by blocks, so that no task sees all lines.
     """
-    read = spark.read.text(fasta).select(F.input_file_name().alias("file"), "value").withColumn("order", F.struct("file", F.monotonically_increasing_id().alias("line")))
+    read = spark.read.text(fasta).select("_metadata.file_path", "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("line"))
+    read = read.select("value", F.struct("file_path", "file_block_start", "line").alias("order"))
     rows = cut(numbered(read, "order", "number").select("number", F.trim("value").alias("line")))
     head = F.col("line").startswith(">")
     first = rows.where(head).agg(F.min("number").alias("n")).first().n

@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachspan.functions.ranges import row_delimiters
-from reachspan.matrix import BoolMatrix
+from reachspan.matrix import COLUMNS, BoolMatrix
 
 #: Places of a flat array that meet their rows at once.
 PLACES = 1 << 12
 
 
-def save(m: BoolMatrix, path: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
-    """Writes entries sorted by row, so that a lookup's row filter skips row groups, and a one-row table of shape, count and encoding."""
-    sorted_ = m.df.repartitionByRange(F.col("row")).sortWithinPartitions(*m.df.columns)
-    sorted_.write.mode(mode).option("compression", compression).parquet(f"{path}/entries")
+def save(m: BoolMatrix, path: str, mode: str = "errorifexists", compression: str = "zstd", buckets: int = 0) -> None:
+    """Writes entries sorted by row, so that a lookup's row filter skips row groups, and a one-row table of shape, count, encoding and buckets.
+
+    With `buckets`, entries are dealt to so many buckets by row: lookups and products with the loaded matrix shuffle the other side only.
+    """
     spark = m.df.sparkSession
-    meta = load_entries(spark, path, m).nnz()
-    spark.createDataFrame([(m.nrows, m.ncols, meta, m.encoding)], "nrows long, ncols long, nnz long, encoding string").coalesce(1).write.mode(mode).parquet(f"{path}/shape")
+    if buckets:
+        dealt = m.df.repartition(buckets, "row").write.mode(mode).format("parquet").option("compression", compression).option("path", f"{path}/entries")
+        dealt.bucketBy(buckets, "row").sortBy(*m.df.columns).saveAsTable(_bucketed(path))
+    else:
+        sorted_ = m.df.repartitionByRange(F.col("row")).sortWithinPartitions(*m.df.columns)
+        sorted_.write.mode(mode).option("compression", compression).parquet(f"{path}/entries")
+    nnz = m.with_df(spark.read.parquet(f"{path}/entries")).nnz()
+    shape = spark.createDataFrame([(m.nrows, m.ncols, nnz, m.encoding, buckets)], "nrows long, ncols long, nnz long, encoding string, buckets int")
+    shape.coalesce(1).write.mode(mode).parquet(f"{path}/shape")
 
 
-def load_entries(spark: SparkSession, path: str, like: BoolMatrix) -> BoolMatrix:
-    return like.with_df(spark.read.parquet(f"{path}/entries"))
+def _bucketed(path: str) -> str:
+    """The name of the table that tells a session of the buckets at a path; the files are all there is."""
+    return f"reachspan_{hashlib.md5(path.encode()).hexdigest()}"
 
 
 def load(spark: SparkSession, path: str) -> BoolMatrix:
     """What `save` wrote; Spark's error where nothing is there."""
     shape = spark.read.parquet(f"{path}/shape").first()
-    return BoolMatrix(spark.read.parquet(f"{path}/entries"), shape.nrows, shape.ncols, shape.encoding)
+    if not shape.asDict().get("buckets"):
+        return BoolMatrix(spark.read.parquet(f"{path}/entries"), shape.nrows, shape.ncols, shape.encoding)
+    columns, name = COLUMNS[shape.encoding], _bucketed(path)
+    entries = ", ".join(f"`{c}` bigint" for c in columns)
+    place = f"{path}/entries".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({entries}) USING parquet CLUSTERED BY (`row`) SORTED BY ({', '.join(f'`{c}`' for c in columns)}) INTO {shape.buckets} BUCKETS LOCATION '{place}'")
+    return BoolMatrix(spark.table(name), shape.nrows, shape.ncols, shape.encoding)
+
+
+def plain_size(m: BoolMatrix) -> int:
+    """Bytes of the matrix as flat arrays of longs: one for a cell, two for a range, row delimiters, one more than rows, and the number of columns."""
+    return 8 * (m.measured().entries * (1 if m.encoding == "basic" else 2) + m.nrows + 2)
 
 
 def size_in_bytes(spark: SparkSession, path: str) -> int:
