@@ -181,9 +181,8 @@ def asof(index: BoolMatrix, pairs: DataFrame, bits: int = LOOKUP_BITS) -> DataFr
 def hits(index: BoolMatrix, pairs: DataFrame, method: str = "auto") -> DataFrame:
     """The pairs that are true, with all their columns; methods as in `query`."""
     if _by_place(index, pairs, method):
-        asked = pairs.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j")).distinct()
-        found = asof(index, asked.toDF("i", "j")).where("hit").select(F.col("i").alias("_i"), F.col("j").alias("_j"))
-        return pairs.join(found, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left_semi")
+        asked = pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+        return pairs.join(asof(index, asked).where("hit").select("i", "j"), ["i", "j"], "left_semi")
     on = (F.col("row") == F.col("i")) & (F.col("col") == F.col("j") if index.encoding == "basic" else F.col("j").between(F.col("lo"), F.col("hi")))
     return pairs.join(index.df, on, "left_semi")
 
