@@ -31,15 +31,16 @@ def carried(df: DataFrame, end: str) -> DataFrame:
     return ends.select("row", "_block", "_end", F.max("_end").over(before).alias("_carry"))
 
 
-def coalesce_ranges(df: DataFrame, ncols: int | None = None, bits: int = COLUMN_BITS) -> DataFrame:
+def coalesce_ranges(df: DataFrame, most: int | None = None, bits: int = COLUMN_BITS) -> DataFrame:
     """Canonical intervals of each row: overlapping, nested and adjacent ones become one.
 
-    Rows of at most 2**bits columns are a window each.  Longer ones are cut into blocks of so many columns by where intervals begin, so that a
+    most: intervals that one row can have, where that is known; the number of columns bounds it, too.  Up to 2**bits of them rows are a window each.  Else rows
+    are cut into blocks of 2**bits columns by where intervals begin, so that a
     row with many intervals is the work of many tasks: intervals are made canonical within blocks; then each block learns how far those before it
     reach.  What lies within that reach is dropped, what begins beyond it and is not its block's last is done, and the rest, at most two intervals a
     block, is stitched by a second window.
     """
-    if ncols is not None and ncols <= 1 << bits:
+    if most is not None and most <= 1 << bits:
         return _coalesced(df, "row")
     own = _coalesced(df.select("row", "lo", "hi", F.shiftright("lo", bits).alias("_block")), "row", "_block")
     told = own.join(carried(own, "hi"), ["row", "_block"]).where("_carry is null or hi > _carry")
@@ -47,9 +48,9 @@ def coalesce_ranges(df: DataFrame, ncols: int | None = None, bits: int = COLUMN_
     return told.where(done).select("row", "lo", "hi").unionByName(_coalesced(told.where(~done), "row"))
 
 
-def to_ranges(df: DataFrame, ncols: int | None = None) -> DataFrame:
-    """Intervals of cells (row, col); repeated cells count once."""
-    return coalesce_ranges(df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), ncols)
+def to_ranges(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Intervals of cells (row, col), of which a row has at most `most`; repeated cells count once."""
+    return coalesce_ranges(df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), most)
 
 
 def to_basic(df: DataFrame) -> DataFrame:

@@ -16,9 +16,14 @@ COLUMNS = {"basic": ["row", "col"], "ranges": ["row", "lo", "hi"]}
 
 @dataclass(frozen=True)
 class Sizes:
+    """Entries and their cells, the longest entry, the most entries and the most cells of one row, and entries that touch the diagonal."""
+
     entries: int
     cells: int
     longest: int
+    fullest: int
+    widest: int
+    touching: int = 0
 
     @property
     def mean(self) -> float:
@@ -37,7 +42,8 @@ class BoolMatrix:
     nrows: int
     ncols: int
     encoding: str
-    #: What is known of the entries once they are written: their number, their cells, the longest one.
+    #: Whether the entries stand on disk, and what is known of them.
+    held: bool = field(default=False, compare=False)
     sizes: Sizes | None = field(default=None, compare=False)
 
     def __post_init__(self):
@@ -55,11 +61,16 @@ class BoolMatrix:
         return BoolMatrix(df, self.nrows, self.ncols, encoding or self.encoding)
 
     def measured(self) -> Sizes:
-        """Its sizes: known if it was written, else by one aggregate."""
+        """Its sizes, by an aggregate over rows; kept if the entries stand on disk."""
         if self.sizes is not None:
             return self.sizes
-        length = F.lit(1).cast("long") if self.encoding == "basic" else F.col("hi") - F.col("lo") + 1
-        return Sizes(*self.df.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0)), F.coalesce(F.max(length), F.lit(0))).first())
+        lo, hi = ("col", "col") if self.encoding == "basic" else ("lo", "hi")
+        length = F.col(hi) - F.col(lo) + 1
+        rows = self.df.groupBy("row").agg(F.count("*").alias("n"), F.sum(length).alias("cells"), F.max(length).alias("longest"), F.count_if((F.col(lo) <= F.col("row") + 1) & (F.col(hi) >= F.col("row") - 1)).alias("near"))
+        found = Sizes(*(x or 0 for x in rows.agg(F.sum("n"), F.sum("cells"), F.max("longest"), F.max("n"), F.max("cells"), F.sum("near")).first()))
+        if self.held:
+            object.__setattr__(self, "sizes", found)
+        return found
 
     def nnz(self) -> int:
         """Number of true cells."""
@@ -75,7 +86,7 @@ class BoolMatrix:
     def to_ranges(self) -> BoolMatrix:
         from reachspan.functions.ranges import to_ranges
 
-        return self if self.encoding == "ranges" else self.with_df(to_ranges(self.df, self.ncols), "ranges")
+        return self if self.encoding == "ranges" else self.with_df(to_ranges(self.df, min(self.ncols, self.sizes.widest) if self.sizes else self.ncols), "ranges")
 
     def cached(self, level: str = "MEMORY_AND_DISK") -> BoolMatrix:
         """Persisted at a storage level of Spark: what the buffered and in-core kinds of a matrix are here."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachspan.functions.ranges import coalesce_ranges
-from reachspan.matrix import BoolMatrix
+from reachspan.matrix import BoolMatrix, Sizes
 from reachspan.runtime import cut
 
 
@@ -20,7 +20,7 @@ def _same(a: BoolMatrix, b: BoolMatrix) -> None:
 def identity(spark: SparkSession, n: int, encoding: str = "ranges") -> BoolMatrix:
     ids = spark.range(n)
     names = ("row", "col") if encoding == "basic" else ("row", "lo", "hi")
-    return BoolMatrix(ids.select(*(F.col("id").alias(c) for c in names)), n, n, encoding)
+    return BoolMatrix(ids.select(*(F.col("id").alias(c) for c in names)), n, n, encoding, False, Sizes(n, n, min(n, 1), min(n, 1), min(n, 1), n))
 
 
 def add(a: BoolMatrix, b: BoolMatrix) -> BoolMatrix:
@@ -29,7 +29,8 @@ def add(a: BoolMatrix, b: BoolMatrix) -> BoolMatrix:
     if a.shape != b.shape:
         raise ValueError(f"shapes {a.shape} and {b.shape} differ")
     both = a.df.unionByName(b.df)
-    return a.with_df(both.distinct() if a.encoding == "basic" else coalesce_ranges(both, a.ncols))
+    most = min(a.ncols, a.sizes.fullest + b.sizes.fullest) if a.sizes and b.sizes else a.ncols
+    return a.with_df(both.distinct() if a.encoding == "basic" else coalesce_ranges(both, most))
 
 
 #: Two distance indices are merged as they are added.
@@ -65,12 +66,13 @@ def multiply(a: BoolMatrix, b: BoolMatrix, method: str = "explode") -> BoolMatri
         joined = left.join(right.withColumn("_b", block("_k")), "_b").where("_k between _lo and _hi")
     elif method == "dyadic":
         levels = _levels(a.measured().longest or 1)
-        joined = _cover(a.df, levels).join(_united(b.df, levels, b.ncols), ["_level", "_b"])
+        joined = _cover(a.df, levels).join(_united(b, levels), ["_level", "_b"])
     else:
         raise ValueError(f"unknown method {method!r}")
-    # one end for each start and row goes on from every task
+    # one end for each start and row goes on from every task; a row of the product has no more of them than its cells in A have in B
     starts = joined.groupBy("row", "lo").agg(F.max("hi").alias("hi"))
-    return BoolMatrix(coalesce_ranges(starts, b.ncols), a.nrows, b.ncols, "ranges")
+    most = min(b.ncols, a.sizes.widest * b.sizes.fullest) if a.sizes and b.sizes else b.ncols
+    return BoolMatrix(coalesce_ranges(starts, most), a.nrows, b.ncols, "ranges")
 
 
 def _levels(longest: int) -> int:
@@ -92,12 +94,13 @@ def _cover(ranges: DataFrame, levels: int) -> DataFrame:
     return ranges.select("row", F.inline(F.concat(*(F.coalesce(b, none) for b in [*blocks, top]))))
 
 
-def _united(rows: DataFrame, levels: int, ncols: int) -> DataFrame:
+def _united(m: BoolMatrix, levels: int) -> DataFrame:
     """_level, _b, lo, hi: the union of the rows of each block, level by level from the one below."""
-    level = rows.select(F.lit(0).alias("_level"), F.col("row").alias("_b"), "lo", "hi")
-    out = level
+    level = m.df.select(F.lit(0).alias("_level"), F.col("row").alias("_b"), "lo", "hi")
+    out, most = level, m.measured().fullest
     for n in range(1, levels + 1):
-        level = cut(coalesce_ranges(level.select(F.shiftright("_b", 1).alias("row"), "lo", "hi"), ncols).select(F.lit(n).alias("_level"), F.col("row").alias("_b"), "lo", "hi"))
+        merged = coalesce_ranges(level.select(F.shiftright("_b", 1).alias("row"), "lo", "hi"), min(m.ncols, most << n))
+        level = cut(merged.select(F.lit(n).alias("_level"), F.col("row").alias("_b"), "lo", "hi"))
         out = out.unionByName(level)
     return out
 
@@ -120,9 +123,9 @@ def power(a: BoolMatrix, k: int) -> BoolMatrix:
     if k == 1:
         return a
     encoding, result = a.encoding, None
-    square = a = _written(a)
+    square = a = _written(a, True)
     if encoding == "ranges" and a.sizes.mean < COMPACT:
-        square = _written(a.to_basic())
+        square = _written(a.to_basic(), True)
     while True:
         if k & 1:
             result = square if result is None else _product(result, square, k == 1, encoding)
@@ -134,8 +137,9 @@ def power(a: BoolMatrix, k: int) -> BoolMatrix:
 
 def _product(a: BoolMatrix, b: BoolMatrix, last: bool, encoding: str) -> BoolMatrix:
     """A written product of a power, in its encoding if it is the last or if rows have filled."""
-    if encoding == "ranges" and (last or "ranges" in (a.encoding, b.encoding) or max(a.sizes.cells, b.sizes.cells) > FEW * max(a.nrows, 1)):
+    if encoding == "ranges" and (last or "ranges" in (a.encoding, b.encoding) or max(a.measured().cells, b.measured().cells) > FEW * max(a.nrows, 1)):
         a, b = _as_ranges(a), _as_ranges(b)
+        a.measured(), b.measured()
     return _written(multiply(a, b, "auto"))
 
 
@@ -143,15 +147,16 @@ def _as_ranges(m: BoolMatrix) -> BoolMatrix:
     """Cells as ranges of one column, which may be adjacent: for operands only, as products come out canonical."""
     if m.encoding == "ranges":
         return m
-    return BoolMatrix(m.df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), m.nrows, m.ncols, "ranges", m.sizes)
+    return BoolMatrix(m.df.select("row", F.col("col").alias("lo"), F.col("col").alias("hi")), m.nrows, m.ncols, "ranges", m.held, m.measured())
 
 
-def _written(m: BoolMatrix) -> BoolMatrix:
-    """The matrix on disk, with its sizes; one that was written is not written again."""
-    if m.sizes is not None:
-        return m
-    held = m.with_df(cut(m.df))
-    return BoolMatrix(held.df, m.nrows, m.ncols, m.encoding, held.measured())
+def _written(m: BoolMatrix, measure: bool = False) -> BoolMatrix:
+    """The matrix on disk, with its sizes if asked for; one that stands there is not written again."""
+    if not m.held:
+        m = BoolMatrix(cut(m.df), m.nrows, m.ncols, m.encoding, True)
+    if measure:
+        m.measured()
+    return m
 
 
 def shift(m: BoolMatrix, rows: int, cols: int) -> DataFrame:

@@ -38,11 +38,10 @@ def create_distance_index(a: BoolMatrix, d1: int, d2: int, method: str = "auto")
     a, more = _written(a), d2 - d1
     if more == 0:
         return power(a, d1)
-    up = _written(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)))
-    if more > 1 and (method == "steps" or method == "auto" and steps_pay(up, more)):
+    if more > 1 and (method == "steps" or method == "auto" and steps_pay(a, more)):
         return _stepped(a, d1, more)
-    up = power(up, more)
-    return up if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
+    up = power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), more)
+    return _written(up) if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
 
 
 def product_size(a: BoolMatrix, b: BoolMatrix) -> float:
@@ -58,19 +57,20 @@ def product_size(a: BoolMatrix, b: BoolMatrix) -> float:
     return every * (sketches.agg(F.sum(F.hll_sketch_estimate("sketch")).alias("n")).first().n or 0)
 
 
-def steps_pay(up: BoolMatrix, steps: int) -> bool:
+def steps_pay(a: BoolMatrix, steps: int) -> bool:
     """Whether (A + I)**steps is cheaper by single steps than by squaring A + I.
 
     Long ranges stay few by squaring.  Else the cells a row at one and at two steps give the power by which they grow, and so the rows that
     each way joins and compares.
     """
-    sizes = up.measured()
-    if steps > MAX_STEPS or not sizes.entries or up.encoding == "ranges" and sizes.mean >= COMPACT:
+    sizes, rows = a.measured(), max(a.nrows, 1)
+    if steps > MAX_STEPS or not sizes.entries:
         return False
-    rows = max(up.nrows, 1)
-    one = max(sizes.cells / rows - 1, 1e-9)
-    two = max(product_size(up, up) / rows - 1, one)
-    growth = math.log2(two / one)
+    # entries that touch the diagonal become one with it
+    if a.encoding == "ranges" and sizes.cells + rows >= COMPACT * (sizes.entries + rows - sizes.touching):
+        return False
+    one = sizes.cells / rows
+    growth = math.log2(1 + product_size(a, a) / rows / one)
     size = lambda t: 1 + one * t**growth
     stepping = sum((size(t) - size(t - 1) * (t > 1)) * one + size(t) for t in range(1, steps)) * rows + 2 * JOB_ROWS * (steps - 1)
     squaring, done, t, k = 0.0, 0, 1, steps
@@ -96,19 +96,22 @@ def _stepped(a: BoolMatrix, d1: int, more: int) -> BoolMatrix:
         new = _written(power(step, d1))
         found = new.df
     for left in range(more, 0, -1):
-        reached = multiply(new, step)
         if left == 1 and a.encoding == "ranges":
-            # intervals are made of all of them, so the last step need not tell new ones
-            found = found.unionByName(reached.df)
-            break
-        new = _written(reached.with_df(reached.df.join(found, ["row", "col"], "left_anti")))
-        if not new.sizes.entries:
+            # intervals are made of all of them, so the last step need tell neither new nor equal ones
+            return _written(step.with_df(found.unionByName(reached(new, step))).to_ranges())
+        new = _written(step.with_df(reached(new, step).distinct().join(found, ["row", "col"], "left_anti")))
+        if new.df.isEmpty():
             break
         found = found.unionByName(new.df)
     cells = step.with_df(found)
     return _written(cells if a.encoding == "basic" else cells.to_ranges())
 
 
+def reached(pairs: BoolMatrix, step: BoolMatrix) -> DataFrame:
+    """Cells one step behind those of pairs, repeated ones too."""
+    return pairs.df.select("row", F.col("col").alias("_k")).join(step.df.select(F.col("row").alias("_k"), "col"), "_k").select("row", "col")
+
+
 def compress_distance_index(index: BoolMatrix, graph: Graph) -> BoolMatrix:
     """Without the pairs of which both lie in one node; for a whole-graph index, in either encoding."""
     # nodes and rows meet in blocks of loci, so that nodes are not expanded

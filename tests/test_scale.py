@@ -121,21 +121,16 @@ def test_steps_and_doubling_agree(spark, encoding, bounds):
             assert intervals(d.df) == plain_coalesced(intervals(d.df))
 
 
-def test_plan_of_an_index(spark):
+def test_plan_of_an_index(spark, monkeypatch):
     n = 400
     chain = BoolMatrix(spark.range(n - 1).select(F.col("id").alias("row"), (F.col("id") + 1).alias("col")), n, n, "basic").to_ranges()
     rng = random.Random(5)
     spread = BoolMatrix(spark.createDataFrame(sorted({(i, rng.randrange(n)) for i in range(n) for _ in range(2)}), "row long, col long"), n, n, "basic").to_ranges()
-    up = lambda a: A.add(a, A.identity(spark, n))
-    assert not D.steps_pay(up(chain), 8) and not D.steps_pay(up(spread), D.MAX_STEPS + 1)
+    assert not D.steps_pay(chain, 8) and not D.steps_pay(spread, D.MAX_STEPS + 1)
     # steps cost jobs, so that they pay on large matrices only
-    assert not D.steps_pay(up(spread), 8)
-    many = BoolMatrix(spread.df, n, n, "ranges", None)
-    D_JOB, D.JOB_ROWS = D.JOB_ROWS, 0
-    try:
-        assert D.steps_pay(up(many), 4)
-    finally:
-        D.JOB_ROWS = D_JOB
+    assert not D.steps_pay(spread, 8)
+    monkeypatch.setattr(D, "JOB_ROWS", 0)
+    assert D.steps_pay(spread, 4) and not D.steps_pay(chain, 4)
 
 
 def test_product_size(spark, monkeypatch):
@@ -149,8 +144,8 @@ def test_product_size(spark, monkeypatch):
 
 
 def test_written_matrices_know_their_sizes(spark):
-    m = A._written(BoolMatrix(spark.createDataFrame([(0, 0, 4), (1, 2, 2)], "row long, lo long, hi long"), 3, 5, "ranges"))
-    assert (m.sizes.entries, m.sizes.cells, m.sizes.longest, m.sizes.mean) == (2, 6, 5, 3.0) and A._written(m) is m
+    m = A._written(BoolMatrix(spark.createDataFrame([(0, 0, 4), (1, 2, 2), (1, 4, 4)], "row long, lo long, hi long"), 3, 5, "ranges"), True)
+    assert (m.sizes.entries, m.sizes.cells, m.sizes.longest, m.sizes.fullest, m.sizes.widest, m.sizes.touching) == (3, 7, 5, 2, 5, 2) and A._written(m) is m
     assert m.with_df(m.df.limit(1)).sizes is None and m.with_df(m.df.limit(0)).measured().mean == 0
 
 
