@@ -38,7 +38,7 @@ def create_distance_index(a: BoolMatrix, d1: int, d2: int, method: str = "auto")
     a, more = _written(a), d2 - d1
     if more == 0:
         return power(a, d1)
-    if more > 1 and (method == "steps" or method == "auto" and steps_pay(a, more)):
+    if more > 1 and (method == "steps" or method == "auto" and steps_pay(a, more, d1)):
         return _stepped(a, d1, more)
     up = power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), more)
     return _written(up) if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
@@ -57,11 +57,11 @@ def product_size(a: BoolMatrix, b: BoolMatrix) -> float:
     return every * (sketches.agg(F.sum(F.hll_sketch_estimate("sketch")).alias("n")).first().n or 0)
 
 
-def steps_pay(a: BoolMatrix, steps: int) -> bool:
-    """Whether (A + I)**steps is cheaper by single steps than by squaring A + I.
+def steps_pay(a: BoolMatrix, steps: int, before: int = 0) -> bool:
+    """Whether A**before (A + I)**steps is cheaper by single steps from A**before than by squaring A + I and one product more.
 
-    Long ranges stay few by squaring.  Else the cells a row at one and at two steps give the power by which they grow, and so the rows that
-    each way joins and compares.
+    Long ranges stay few by squaring.  Of other matrices up to three steps take no more products than squaring, and smaller ones.  For more steps, the cells a row at one and at
+    two steps give the power by which they grow, and so the rows that each way joins and compares.
     """
     sizes, rows = a.measured(), max(a.nrows, 1)
     if steps > MAX_STEPS or not sizes.entries:
@@ -69,11 +69,15 @@ def steps_pay(a: BoolMatrix, steps: int) -> bool:
     # entries that touch the diagonal become one with it
     if a.encoding == "ranges" and sizes.cells + rows >= COMPACT * (sizes.entries + rows - sizes.touching):
         return False
+    if steps <= 3:
+        return True
     one = sizes.cells / rows
     growth = math.log2(1 + product_size(a, a) / rows / one)
-    size = lambda t: 1 + one * t**growth
-    stepping = sum((size(t) - size(t - 1) * (t > 1)) * one + size(t) for t in range(1, steps)) * rows + 2 * JOB_ROWS * (steps - 1)
-    squaring, done, t, k = 0.0, 0, 1, steps
+    size = lambda t: 1 + one * t**growth if t > 0 else float(t == 0)
+    exactly = lambda t: size(t) - size(t - 1)
+    first = max(before, 1)
+    stepping = sum(exactly(t) * one + size(t) for t in range(first, before + steps)) * rows + 2 * JOB_ROWS * (before + steps - first)
+    squaring, done, t, k = exactly(before) * size(steps) * rows + JOB_ROWS if before else 0.0, 0, 1, steps
     while k:
         if k & 1:
             squaring += size(done) * size(t) * rows + JOB_ROWS if done else 0
@@ -86,7 +90,7 @@ def steps_pay(a: BoolMatrix, steps: int) -> bool:
 
 def _stepped(a: BoolMatrix, d1: int, more: int) -> BoolMatrix:
     """A**d1 (A + I)**more by cells: each step goes on from the pairs that were not there before it."""
-    step = _written(a.to_basic())
+    step = a.to_basic()
     if d1 == 0:
         # no step and one step
         found = identity(a.df.sparkSession, a.nrows, "basic").df

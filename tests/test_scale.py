@@ -131,6 +131,7 @@ def test_plan_of_an_index(spark, monkeypatch):
     assert not D.steps_pay(spread, 8)
     monkeypatch.setattr(D, "JOB_ROWS", 0)
     assert D.steps_pay(spread, 4) and not D.steps_pay(chain, 4)
+    assert D.steps_pay(spread, 3, 2) and not D.steps_pay(chain, 3)
 
 
 def test_product_size(spark, monkeypatch):
