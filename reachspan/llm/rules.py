@@ -28,7 +28,8 @@ MAX_FIT_ROWS = 20_000
 TREES, SAMPLE = 100, 256
 MAX_GOOD_LOST = 0.001
 MARGIN = 0.01
-MIN_TELLING = 0.75
+#: A statistic tells bad rows if this share of them lies farther off than all but so many of the good ones.
+MIN_TELLING, GOOD_BEYOND = 0.02, 0.001
 N_FEATURES = 7
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -147,25 +148,24 @@ class Forest:
 
 
 def telling(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Which statistics tell bad rows from good ones by their distance from the good median; all, if none does.
+    """Which statistics tell some bad rows from good ones by their distance from the good median; all, if none does.
 
-    Measured as the chance that a bad row lies farther off than a good one, ties by half.
+    Upper ends are compared, not averages: a statistic that only a minority of the bad rows is unusual in, one kind of junk among others, is used, too.
     """
     if not len(good) or not len(bad):
         return np.arange(good.shape[1])
-    middle, chance = np.median(good, axis=0), []
-    for f in range(good.shape[1]):
-        near, far = np.sort(np.abs(good[:, f] - middle[f])), np.abs(bad[:, f] - middle[f])
-        chance.append((np.searchsorted(near, far, "left") + np.searchsorted(near, far, "right")).mean() / 2 / len(near))
-    used = np.flatnonzero(np.array(chance) >= MIN_TELLING)
+    middle = np.median(good, axis=0)
+    limit = np.quantile(np.abs(good - middle), 1 - GOOD_BEYOND, axis=0)
+    used = np.flatnonzero((np.abs(bad - middle) > limit).mean(axis=0) >= MIN_TELLING)
     return used if len(used) else np.arange(good.shape[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD_LOST) -> Forest:
     """A forest of the good labelled documents, with the threshold that loses at most the given share of them.
 
-    Statistics that do not tell sampled bad rows from good ones are left out.  Half of the sampled good rows grow the trees, the other half set the threshold, so that it holds for rows not seen.
-    Rows that the base rules reject, and rows without id or label, are left out.  Without labelled rows nothing is anomalous.
+    Statistics that tell no kind of sampled bad rows from good ones are left out.  Half of the sampled good rows grow the trees, the other half set the threshold, so that it holds for rows not seen.
+    Rows that the base rules reject, and rows without id or label, are left out; rows of one id go by their statistics, so equal tables give equal
+    forests.  Without labelled rows, or in an empty table, nothing is anomalous.
     """
     ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_ROWS)
@@ -178,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(base_failed(counts)), pa.array(points.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "failed", "point"])
 
     texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = map_batches(texts.join(F.broadcast(sample), "doc_id"), counted, "doc_id long, quality int, failed boolean, point array<double>").where("not failed").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_FIT_ROWS).toArrow()
+    rows = map_batches(texts.join(F.broadcast(sample), "doc_id"), counted, "doc_id long, quality int, failed boolean, point array<double>").where("not failed").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "point").limit(MAX_FIT_ROWS).toArrow()
     points = np.array(rows.column("point").to_pylist() or np.zeros((0, N_FEATURES)))
     good = rows.column("quality").to_numpy() == 1
     good, bad = points[good], points[~good]
@@ -190,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD
 
 
 def judge(documents: DataFrame, forest: Forest) -> DataFrame:
-    """doc_id, COUNTS, base_failed, score and kept of each row.  Null and empty texts have no words and fail."""
+    """doc_id, COUNTS, base_failed, score and kept of each row.  Null and empty texts have no words and fail; long texts are one pass over their bytes; empty tables give empty ones."""
 
     def judged(batch: pa.RecordBatch):
         for block in X.blocks(batch.column("text")):
