@@ -109,13 +109,23 @@ def _signed(coded: DataFrame) -> DataFrame:
 
 
 def _crowded(signed: DataFrame) -> DataFrame:
-    """line_id, band (a hash of three minima, twelve of each line), n and head of the bands that two lines and more share."""
+    """line_id, band (a hash of three minima, twelve of each line) and n of the bands that two lines and more share."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in band)) for b, band in enumerate(BANDS)))
     leaves = signed.select("line_id", F.explode(bands).alias("band"))
-    crowds = written(leaves.groupBy("band").agg(F.min("line_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    crowds = written(leaves.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     return _Marks(crowds.select("band")).among(leaves, "band").join(crowds, "band")
 
 
+def _headed(members: DataFrame) -> DataFrame:
+    """line_id, band, n and head: of a bucket's lines the one whose buckets hold the most lines in all.
+
+    It stands nearest to the middle of a group of near copies, so that most are like it, and is the same in most of the group's buckets, so that fewer pairs are compared.
+    """
+    fame = members.groupBy("line_id").agg(F.sum("n").alias("fame"))
+    heads = members.join(fame, "line_id").groupBy("band").agg(F.max(F.struct("fame", "line_id"))["line_id"].alias("head"))
+    return members.join(heads, "band")
+
+
 def _facts(coded: DataFrame) -> DataFrame:
     """line_id, size (number of shingles with repeats) and the bitmap of its shingles, made in parts of PART longs."""
     longs = [F.expr(f"bit_or(if((shiftright(hash, 6) & {PART - 1}) = {j}, shiftleft(1L, cast(hash & 63 as int)), 0L))").alias(f"l{j}") for j in range(PART)]
@@ -145,7 +155,7 @@ def _near(threshold: float) -> Column:
 
 def _links(lines: DataFrame, threshold: float) -> DataFrame:
     """Links a, b between lines, by which all candidates that are similar are connected."""
-    members = written(_crowded(written(_signed(_coded(lines)))))
+    members = written(_headed(written(_crowded(written(_signed(_coded(lines)))))))
     known = members.select("line_id").distinct()
     # texts of candidates, once each; codes are written, as they would else be made anew for every shingle
     pool = written(_coded(_Marks(known).among(lines.select("line_id", "line"), "line_id").join(known, "line_id", "left_semi").dropDuplicates(["line_id"])))
