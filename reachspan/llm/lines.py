@@ -209,12 +209,14 @@ def _lines(rows: DataFrame) -> DataFrame:
 def _removed(rows: DataFrame, threshold: float) -> DataFrame:
     """key and the places of lines that go, of each document that loses any."""
     lines = _lines(rows)
-    firsts = lines.groupBy("line_id").agg(F.min("did").alias("did"), (F.count("*") > 1).alias("again"))
+    # where lines stand, without their texts, is written once, as it is read more often than that
+    placed = written(lines.select("key", "did", "place", "line_id"))
+    firsts = placed.groupBy("line_id").agg(F.min("did").alias("did"), (F.count("*") > 1).alias("again"))
     nodes = components(_links(lines, threshold)).select(F.col("node").alias("line_id"), "component")
     grouped = firsts.join(nodes, "line_id", "left").where("again or component is not null").select("line_id", "did", F.coalesce("component", "line_id").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("did").alias("kept"))
     heads = written(grouped.select("line_id", "component").join(kept, "component"))
-    shared = _Marks(heads.select("line_id")).among(lines.select("line_id", "key", "did", "place"), "line_id").join(heads, "line_id")
+    shared = _Marks(heads.select("line_id")).among(placed, "line_id").join(heads, "line_id")
     shared = written(shared.select("key", "place", "component", (F.col("did") == F.col("kept")).alias("tied")))
     # within the first document, or rows of its id, the first place stays
     tied = shared.where("tied")
