@@ -41,6 +41,8 @@ BITMAP, CELL, CROWD = 32, 2000, 50
 #: Heads that all of a crowded bucket meet in one turn, and turns.
 HEADS, TURNS = 6, 1
 PART = 4
+#: Bytes of lines' places that are broadcast.
+SMALL_BYTES = 16 << 20
 #: Pairs that a task compares, while there are not too many tasks.
 PAIRS = 500
 _WORD = r"[^\x20\x09-\x0D]"
@@ -232,7 +234,10 @@ def _deduped(documents: DataFrame, threshold: float) -> DataFrame:
     removed = _removed(documents.select(key.alias("key"), did.alias("did"), text.alias("text")), threshold)
     marks = _Marks(removed.select("key"))
     rows = documents.select(key.alias("key"), row_of(documents))
-    hit = marks.among(rows, "key").join(removed, "key", "left")
+    n = removed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
+    # places of few documents go to the documents, those of many are met by a shuffle
+    places = F.broadcast(removed) if 40 * n.rows + 8 * n.places <= SMALL_BYTES else removed
+    hit = marks.among(rows, "key").join(places, "key", "left")
     # the lines are bound to a name, as the text would else be split anew for every line
     left = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("places"))
     joined = F.transform(F.array(F.split("row.text", "\n")), lambda own: F.array_join(F.transform(left(own), lambda i: own[i]), "\n"))[0]
