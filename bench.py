@@ -20,7 +20,7 @@ from reachspan.sources.generate import random_pairs
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 NAMES = ["to_ranges", "multiply", "power_3", "dindex", "dindex_from_zero", "dindex_stepwise", "merge", "compress", "lookup"]
-REACH = (128, 256)
+REACH = (128, 256, 512, 1024)
 PAIRS = 1_000_000
 
 
