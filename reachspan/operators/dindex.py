@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachspan.functions.ranges import carried, coalesce_ranges
+from reachspan.functions.ranges import COLUMN_BITS, carried, coalesce_ranges, to_ranges
 from reachspan.matrix import BoolMatrix
 from reachspan.operators.algebra import COMPACT, _written, add, identity, multiply, power
 from reachspan.operators.graph import Graph, locus_offsets
@@ -40,8 +40,8 @@ def create_distance_index(a: BoolMatrix, d1: int, d2: int, method: str = "auto")
         return power(a, d1)
     if more > 1 and (method == "steps" or method == "auto" and steps_pay(a, more, d1)):
         return _stepped(a, d1, more)
-    up = power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), more)
-    return _written(up) if d1 == 0 else _written(multiply(power(a, d1), up, "auto"))
+    up = _written(power(add(a, identity(a.df.sparkSession, a.nrows, a.encoding)), more), d1 > 0)
+    return up if d1 == 0 else _written(multiply(_written(power(a, d1), True), up, "auto"))
 
 
 def product_size(a: BoolMatrix, b: BoolMatrix) -> float:
@@ -90,25 +90,27 @@ def steps_pay(a: BoolMatrix, steps: int, before: int = 0) -> bool:
 
 def _stepped(a: BoolMatrix, d1: int, more: int) -> BoolMatrix:
     """A**d1 (A + I)**more by cells: each step goes on from the pairs that were not there before it."""
-    step = a.to_basic()
+    step, width = a.to_basic(), a.measured().widest
+    # how many cells a row can have is worth an aggregate a step only where the columns do not bound it
+    fullest = lambda m: m.measured().fullest if a.ncols > 1 << COLUMN_BITS else a.ncols
     if d1 == 0:
         # no step and one step
         found = identity(a.df.sparkSession, a.nrows, "basic").df
         new = step.with_df(step.df.where("row <> col"))
-        found, more = found.unionByName(new.df), more - 1
+        found, more, most = found.unionByName(new.df), more - 1, 1 + width
     else:
         new = _written(power(step, d1))
-        found = new.df
+        found, most = new.df, fullest(new)
     for left in range(more, 0, -1):
         if left == 1 and a.encoding == "ranges":
             # intervals are made of all of them, so the last step need tell neither new nor equal ones
-            return _written(step.with_df(found.unionByName(reached(new, step))).to_ranges())
+            found, most = found.unionByName(reached(new, step)), most + width * (width if new.sizes is None and not new.held else fullest(new))
+            break
         new = _written(step.with_df(reached(new, step).distinct().join(found, ["row", "col"], "left_anti")))
         if new.df.isEmpty():
             break
-        found = found.unionByName(new.df)
-    cells = step.with_df(found)
-    return _written(cells if a.encoding == "basic" else cells.to_ranges())
+        found, most = found.unionByName(new.df), most + fullest(new)
+    return _written(step.with_df(found) if a.encoding == "basic" else a.with_df(to_ranges(found, min(most, a.ncols))))
 
 
 def reached(pairs: BoolMatrix, step: BoolMatrix) -> DataFrame:

@@ -92,7 +92,8 @@ def locus_offsets(graph: Graph) -> DataFrame:
 
 def adjacency_matrix(graph: Graph, lower: int = 1, upper: int = 0) -> BoolMatrix:
     """Cells (locus, next locus) of the nodes of a rank range, numbered from its first locus; edges that leave it are left out."""
-    nodes = locus_offsets(graph).select("rank", "len", "start")
+    # read four times
+    nodes = cut(locus_offsets(graph).select("rank", "len", "start"))
     own = nodes.where((F.col("rank") >= lower) & ((F.col("rank") < upper) if upper else F.lit(True)))
     shape = own.agg(F.coalesce(F.min("start"), F.lit(0)).alias("base"), F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first()
     inner = own.where("len >= 2").select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 2)).alias("row")).select("row", (F.col("row") + 1).alias("col"))
