@@ -141,6 +141,18 @@ FROM e LEFT JOIN g USING (conv_id)"""
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d),
+g AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM g JOIN f USING (k) WHERE first < doc_id),
+s AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM m),
+r AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM s GROUP BY doc_id, run),
+o AS (SELECT doc_id, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM r UNION ALL SELECT doc_id, len(h) // 2, coalesce((SELECT max(e) FROM r WHERE r.doc_id = d.doc_id), 0) FROM d),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, {_LOWERED} AS w FROM documents), b AS (SELECT item_id, {_LOWERED} AS w FROM benchmark),
 bp AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0),
