@@ -1,19 +1,22 @@
 """Orders of nodes of graphs of any size, as relations (rank, place).
 
 Three building blocks: `followed` jumps along links by doubling, `connected` contracts edges until components are single nodes, and
-`levels` peels nodes whose predecessors are gone.  Peeling goes by blocks of neighbouring ranks: a task peels its block as far as it can, and only what
-leaves a block is sent on, so the number of rounds is how often a path changes blocks, not how long it is.
+`levels` peels nodes whose predecessors are gone.  Peeling goes by blocks of neighbouring places: a task peels its block as far as it can, and only what
+leaves a block is sent on, so the number of rounds is how often a path changes blocks, not how long it is.  Where ranks let paths come back to earlier blocks, nodes are
+first placed by estimated depth (`by_depth`), so that paths change blocks as often as there are blocks.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachspan.functions.indexing import numbered
-from reachspan.runtime import cut
+from reachspan.runtime import checkpoint_folder, cut
 
 #: Ranks of a block, as a power of two.
 BLOCK_BITS = 17
@@ -21,15 +24,42 @@ BLOCK_BITS = 17
 SMALL = 200_000
 
 
-def followed(links: DataFrame) -> DataFrame:
-    """node, last, steps, ring of links (node, next) of which each node has at most one: where following them ends, after how many steps.
+def _followed_frames(frames):
+    """`followed` of one group of links, by the same doubling."""
+    for frame in frames:
+        for node, nxt, steps in zip(frame["node"], frame["next"], frame["steps"], strict=True):
+            order = np.argsort(node)
+            node, nxt, steps = node[order], nxt[order], steps[order]
+            n = len(node)
+            least = np.minimum(node, nxt)
+            at = np.minimum(np.searchsorted(node, nxt), n - 1)
+            at = np.where(node[at] == nxt, at, n)
+            for _ in range(n.bit_length() + 1):
+                moved = at < n
+                if not moved.any():
+                    break
+                ahead = at[moved]
+                steps, nxt, least, at = steps.copy(), nxt.copy(), least.copy(), at.copy()
+                steps[moved], least[moved] = steps[moved] + steps[ahead], np.minimum(least[moved], least[ahead])
+                nxt[moved], at[moved] = nxt[ahead], at[ahead]
+            ring = at < n
+            yield pd.DataFrame({"node": node, "last": np.where(ring, least, nxt), "steps": steps, "ring": ring})
+
+
+def followed(links: DataFrame, small: int | None = None) -> DataFrame:
+    """node, last, steps, ring of links (node, next, and steps if they count for more than one) of which each node has at most one: where following them ends, after how many steps.
 
     Doubling: after r rounds each node knows its 2**r-th successor.  Nodes that still move when that exceeds their number lead into a ring; their `last` is the
-    smallest node met.
+    smallest node met, their `steps` mean nothing.  Up to `small` links are one task's.
     """
-    now = cut(links.select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps"), F.least("node", "next").alias("least")))
-    rounds, moving = max(1, now.count()).bit_length() + 1, True
-    for _ in range(rounds):
+    small = SMALL if small is None else small
+    steps = F.col("steps") if "steps" in links.columns else F.lit(1)
+    now = cut(links.select("node", F.col("next").alias("last"), steps.cast("long").alias("steps"), F.least("node", "next").alias("least")))
+    n, moving = now.count(), True
+    if n <= small:
+        whole = now.groupBy(F.lit(1).alias("one")).agg(F.collect_list("node").alias("node"), F.collect_list("last").alias("next"), F.collect_list("steps").alias("steps"))
+        return whole.mapInPandas(_followed_frames, "node long, last long, steps long, ring boolean")
+    for _ in range(max(1, n).bit_length() + 1):
         ahead = now.select(F.col("node").alias("last"), F.col("last").alias("_last"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
         now = cut(now.join(ahead, "last", "left").select("node", F.coalesce("_last", "last").alias("last"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.least("least", "_least").alias("least"), F.col("_last").isNotNull().alias("moved")))
         moving = not now.where("moved").isEmpty()
@@ -76,11 +106,78 @@ def _peeled(key, state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rank": ranks, "missing": missing, "level": level, "done": done, "fresh": fresh})
 
 
+def _deepened(key, state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The longest paths within one block, from what its nodes are entered at: each node's root, where its path enters the block, and steps from there; `behind` is what leads to it."""
+    state = state.sort_values("rank", ignore_index=True)
+    ranks, entered = state["rank"].to_numpy(), state["entry"].fillna(0).to_numpy(np.int64)
+    edges = edges.sort_values("a")
+    source, target = np.searchsorted(ranks, edges["a"].to_numpy()), np.searchsorted(ranks, edges["b"].to_numpy())
+    first = np.searchsorted(source, np.arange(len(ranks) + 1)).tolist()
+    missing, target = np.bincount(target, minlength=len(ranks)).tolist(), target.tolist()
+    depth, root, steps = entered.tolist(), list(range(len(ranks))), [0] * len(ranks)
+    ready = [x for x, m in enumerate(missing) if not m]
+    while ready:
+        x = ready.pop()
+        for y in target[first[x] : first[x + 1]]:
+            if depth[y] <= depth[x]:
+                depth[y], root[y], steps[y] = depth[x] + 1, root[x], steps[x] + 1
+            missing[y] -= 1
+            if not missing[y]:
+                ready.append(y)
+    return pd.DataFrame({"rank": ranks, "depth": depth, "root": ranks[np.array(root, np.int64)], "steps": steps, "behind": state["behind"].astype("Int64")})
+
+
+#: Rounds in which nodes are placed by depth at most; what they leave costs rounds of peeling.
+DEPTH_ROUNDS = 48
+
+
+def by_depth(nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame | None:
+    """rank, place: an order of nodes (rank) in which hardly an edge (a, b) leads back to an earlier block of 2**bits places; nothing, if ranks are such an order.
+
+    Each round takes, block by block, the longest paths within blocks from what is known of the depths outside; every node then follows the path that it has chosen, over all blocks, to its
+    beginning (`followed`), which gives it the depth on that path, and nodes are placed anew by depth.  Depths only grow, up to the longest path's.  It ends when no edge leads back, when paths run into
+    a ring, or after DEPTH_ROUNDS.
+    """
+    block = lambda c: F.shiftright(c, bits)
+    placed = nodes.select("rank", F.lit(0).cast("long").alias("depth"), F.col("rank").alias("place"))
+    for turn in range(DEPTH_ROUNDS):
+        a, b = placed.select(F.col("rank").alias("a"), F.col("depth").alias("_depth"), block("place").alias("_from")), placed.select(F.col("rank").alias("b"), block("place").alias("_to"))
+        told = edges.join(a, "a").join(b, "b")
+        if not turn and told.where("_from > _to").isEmpty():
+            return None
+        told = cut(told)
+        if told.where("_from > _to").isEmpty():
+            break
+        entries = told.where("_from <> _to").groupBy(F.col("b").alias("rank")).agg(F.max(F.struct(F.col("_depth").alias("d"), F.col("a").alias("a"))).alias("_in"))
+        own = placed.join(entries, "rank", "left").select("rank", (F.col("_in.d") + 1).alias("entry"), F.col("_in.a").alias("behind"), block("place").alias("_block"))
+        inner = told.where("_from = _to").select("a", "b", F.col("_to").alias("_block"))
+        out = cut(own.groupBy("_block").cogroup(inner.groupBy("_block")).applyInPandas(_deepened, "rank long, depth long, root long, steps long, behind long"))
+        before = out.select(F.col("rank").alias("behind"), F.col("root").alias("next"), (F.col("steps") + 1).alias("steps"))
+        links = out.where("rank = root and behind is not null").select(F.col("rank").alias("node"), "behind").join(before, "behind").select("node", "next", "steps")
+        ends = cut(followed(links))
+        if not ends.where("ring").isEmpty():
+            break
+        begun = ends.select(F.col("node").alias("root"), F.col("steps").alias("_before"))
+        deep = out.join(begun, "root", "left").select("rank", (F.col("steps") + F.coalesce("_before", F.lit(0))).alias("depth"))
+        placed = cut(numbered(deep.withColumn("_order", F.struct("depth", "rank")), "_order", "place").select("rank", "depth", "place"))
+    return placed.select("rank", "place")
+
+
 def levels(nodes: DataFrame, edges: DataFrame, bits: int | None = None) -> DataFrame:
     """rank, level of nodes (rank) under edges (a, b): the most edges that lead to a node; null on cycles and behind them."""
     bits = BLOCK_BITS if bits is None else bits
-    block = lambda c: F.shiftright(c, bits)
     edges = cut(edges.select("a", "b").distinct())
+    places = by_depth(nodes, edges, bits)
+    if places is None:
+        return _peeled_levels(nodes, edges, bits)
+    moved = cut(edges.join(places.toDF("a", "x"), "a").join(places.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = _peeled_levels(places.select(F.col("place").alias("rank")), moved, bits)
+    return places.join(found.toDF("place", "level"), "place").select("rank", "level")
+
+
+def _peeled_levels(nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+    """`levels` of distinct edges, by blocks of ranks as they are."""
+    block = lambda c: F.shiftright(c, bits)
     inner, cross = edges.where(block("a") == block("b")).withColumn("_block", block("a")), edges.where(block("a") != block("b"))
     entered = edges.groupBy(F.col("b").alias("rank")).agg(F.count("*").alias("missing"))
     state = cut(nodes.select("rank").join(entered, "rank", "left").select("rank", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).cast("long").alias("level"), F.lit(False).alias("done"), block("rank").alias("_block")))

@@ -160,3 +160,26 @@ def test_nothing(spark):
         assert places(order(nodes, e)) == {1: 1, 2: 2, 3: 3}
         assert order(nodes.limit(0), e).count() == 0
     assert places(O.cuthill_mckee(nodes, e, 0)) == {1: 1, 2: 2, 3: 3}
+
+
+def counted(monkeypatch, name):
+    """How often a function of the module is called, by its first argument."""
+    own, calls = getattr(O, name), []
+    monkeypatch.setattr(O, name, lambda df, *more: (calls.append(df), own(df, *more))[1])
+    return calls
+
+
+def test_levels_of_a_path_between_blocks(spark, monkeypatch):
+    """A path that changes blocks with every step takes rounds for the blocks, not for its steps."""
+    path = [x for i in range(1, 16) for x in (i, i + 16)]
+    nodes, e = frames(spark, 31, list(zip(path, path[1:], strict=False)))
+    calls = counted(monkeypatch, "cut")
+    assert {r["rank"]: r.level for r in O.levels(nodes, e, 4).collect()} == {x: i for i, x in enumerate(path)} | {16: 0}
+    assert len(calls) < 45
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_followed_counts_steps(spark, small):
+    links = spark.createDataFrame([(2, 1, 5), (3, 2, 7), (4, 3, 1), (9, 8, 2), (12, 11, 1), (11, 12, 1)], "node long, next long, steps long")
+    got = {r.node: (r.last, None if r.ring else r.steps) for r in O.followed(links, small).collect()}
+    assert got == {2: (1, 5), 3: (1, 12), 4: (1, 13), 9: (8, 2), 11: (11, None), 12: (11, None)}
