@@ -377,15 +377,21 @@ def cuthill_mckee(nodes: DataFrame, edges: DataFrame, small: int | None = None)
     names = cut(numbered(sized, "_order", "node").select("rank", "node"))
     near = cut(both.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     roots = cut(names.join(connected(near), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    front = cut(roots.where("node = root").select("node", "root", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("at")))
-    seen, level = front, 0
+    spark, schema = nodes.sparkSession, "node long, root long, at long"
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    front, level = roots.where("node = root").select("node", "root", F.lit(0).cast("long").alias("at")), 0
+    last = None
     while True:
-        level += 1
-        reached = near.join(front.select(F.col("node").alias("a"), "root", "at"), "a").groupBy(F.col("b").alias("node"), "root").agg(F.min("at").alias("_parent"))
-        new = reached.join(seen.select("node"), "node", "left_anti").withColumn("_order", F.struct("root", "_parent", "node"))
-        front = cut(numbered(new, "_order", "at").select("node", "root", F.lit(level).cast("long").alias("level"), "at"))
-        if front.isEmpty():
+        front.write.option("compression", "zstd").parquet(f"{folder}/level={level}")
+        before, last = last, spark.read.schema(schema).parquet(f"{folder}/level={level}")
+        if last.isEmpty():
             break
-        seen = seen.unionByName(front)
+        level += 1
+        # a neighbour of a level is in the level before, in it or in the next
+        known = last.select("node") if before is None else last.select("node").unionByName(before.select("node"))
+        reached = near.join(last.select(F.col("node").alias("a"), "root", "at"), "a").groupBy(F.col("b").alias("node"), "root").agg(F.min("at").alias("_parent"))
+        new = reached.join(known, "node", "left_anti").withColumn("_order", F.struct("root", "_parent", "node"))
+        front = numbered(new, "_order", "at").select("node", "root", "at")
+    seen = spark.read.schema(f"{schema}, level long").parquet(folder)
     placed = numbered(seen.select("node", F.struct("root", "level", "at").alias("_order")), "_order", "place")
     return placed.join(names, "node").select("rank", "place")

@@ -183,3 +183,13 @@ def test_followed_counts_steps(spark, small):
     links = spark.createDataFrame([(2, 1, 5), (3, 2, 7), (4, 3, 1), (9, 8, 2), (12, 11, 1), (11, 12, 1)], "node long, next long, steps long")
     got = {r.node: (r.last, None if r.ring else r.steps) for r in O.followed(links, small).collect()}
     assert got == {2: (1, 5), 3: (1, 12), 4: (1, 13), 9: (8, 2), 11: (11, None), 12: (11, None)}
+
+
+def test_cuthill_mckee_plans_stay_short(spark, monkeypatch):
+    """The plan of a level does not hold all levels before."""
+    nodes, e = frames(spark, 10, [(i, i + 1) for i in range(1, 10)])
+    calls = counted(monkeypatch, "numbered")
+    assert places(O.cuthill_mckee(nodes, e, 0)) == {i: i for i in range(1, 11)}
+    # the first numbers nodes, the last one all places
+    read = [df._jdf.queryExecution().analyzed().toString().count("Relation [") for df in calls[1:-1]]
+    assert len(read) == 10 and read[-1] == read[2]
