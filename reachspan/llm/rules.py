@@ -11,6 +11,7 @@ Scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import map_batches
+from ._spark import map_batches, small_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -31,6 +32,8 @@ MARGIN = 0.01
 #: A statistic tells bad rows if this share of them lies farther off than all but so many of the good ones.
 MIN_TELLING, GOOD_BEYOND = 0.02, 0.001
 N_FEATURES = 7
+#: Bytes of texts that are looked at together; the arrays over them take many times as much.
+BLOCK_BYTES = 1 << 19
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_digits", "n_capitals", "n_marks", "n_lines")
@@ -79,6 +82,12 @@ def statistics(block: X.Block) -> dict[str, np.ndarray]:
     return out
 
 
+def counted(column) -> Iterator[tuple[X.Block, dict[str, np.ndarray]]]:
+    """Blocks of a string column with their statistics."""
+    for block in X.blocks(column, BLOCK_BYTES):
+        yield block, statistics(block)
+
+
 def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
 
@@ -170,15 +179,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD
     ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_ROWS)
 
-    def counted(batch: pa.RecordBatch):
-        for block in X.blocks(batch.column("text")):
-            counts = statistics(block)
+    small_batches(documents.sparkSession)
+
+    def pointed(batch: pa.RecordBatch):
+        for block, counts in counted(batch.column("text")):
             part = batch.slice(block.first, len(block))
             points = features(counts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(base_failed(counts)), pa.array(points.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "failed", "point"])
 
     texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = map_batches(texts.join(F.broadcast(sample), "doc_id"), counted, "doc_id long, quality int, failed boolean, point array<double>").where("not failed").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "point").limit(MAX_FIT_ROWS).toArrow()
+    rows = map_batches(texts.join(F.broadcast(sample), "doc_id"), pointed, "doc_id long, quality int, failed boolean, point array<double>").where("not failed").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "point").limit(MAX_FIT_ROWS).toArrow()
     points = np.array(rows.column("point").to_pylist() or np.zeros((0, N_FEATURES)))
     good = rows.column("quality").to_numpy() == 1
     good, bad = points[good], points[~good]
@@ -191,10 +201,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD
 
 def judge(documents: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, COUNTS, base_failed, score and kept of each row.  Null and empty texts have no words and fail; long texts are one pass over their bytes; empty tables give empty ones."""
+    small_batches(documents.sparkSession)
 
     def judged(batch: pa.RecordBatch):
-        for block in X.blocks(batch.column("text")):
-            counts = statistics(block)
+        for block, counts in counted(batch.column("text")):
             failed, scores = base_failed(counts), forest.scores(features(counts))
             columns = [batch.column("doc_id").slice(block.first, len(block)), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(scores), pa.array(~failed & (scores <= forest.threshold))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
@@ -204,10 +214,10 @@ def judge(documents: DataFrame, forest: Forest) -> DataFrame:
 
 def keep(documents: DataFrame, forest: Forest) -> DataFrame:
     """The rows of documents that are kept, with all columns as they are."""
+    small_batches(documents.sparkSession)
 
     def passed(batch: pa.RecordBatch):
-        for block in X.blocks(batch.column("text")):
-            counts = statistics(block)
+        for block, counts in counted(batch.column("text")):
             good = ~base_failed(counts)
             good[good] = forest.scores(features(counts)[good]) <= forest.threshold
             yield batch.slice(block.first, len(block)).filter(pa.array(good))

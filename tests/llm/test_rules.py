@@ -1,6 +1,7 @@
 """The isolation forest: kinds of junk, each a minority of the bad rows, and verdicts against trees walked one by one."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +88,14 @@ def test_telling():
     bad[:20, 1] += 9
     assert rules.telling(good, bad).tolist() == [1]
     assert rules.telling(good, good[:50]).tolist() == [0, 1, 2] and rules.telling(good, bad[:0]).tolist() == [0, 1, 2]
+
+
+def test_counts_take_bounded_memory():
+    """Eight MB of texts in one batch are looked at in blocks."""
+    texts = pa.array([("some words of a line %d, and more of them\n" % i) * 50 for i in range(4000)])
+    next(rules.counted(texts.slice(0, 400)))
+    tracemalloc.start()
+    n = sum(len(block) for block, _ in rules.counted(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < 100 << 20
