@@ -87,3 +87,16 @@ def test_tables_between_steps_are_compressed(spark, tmp_path):
     df = cut(spark.range(1_000_000).toDF("row"))
     files = df.inputFiles()
     assert files and sum(spark.read.format("binaryFile").load(files).select("length").agg(F.sum("length")).first()) < 4_000_000
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    """A bucket is one task's: rows that are too many for the usual buckets take more of them."""
+    from reachspan import runtime
+    from reachspan.plans import queries
+    from reachspan.sources import storage
+
+    asked, own = [], storage.save
+    monkeypatch.setattr(storage, "save", lambda m, path, buckets: (asked.append(buckets), own(m, path, buckets=buckets))[1])
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500)
+    assert queries.QUERIES["lookup_stored_buckets"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert asked[0] > 8
