@@ -1,4 +1,4 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions only.
+"""Fuzzy line dedup by MinHash, with DataFrame functions but for crowded buckets, which are compared by NumPy in cells.
 
 Lines of the whole corpus that hold a word are known by their hash; equal lines are one from the first aggregation on.  A line's
 shingles are its runs of SHINGLE characters: the line is encoded with two bytes a character (UTF-16; characters beyond the basic plane
@@ -9,19 +9,23 @@ plane of nine points, so that nine minima give twelve bands of three, any two of
 
 Lines that share a band are candidates, and every candidate pair is decided: it is verified by the exact Jaccard similarity of all
 shingles, or its lines are linked by others, or bitmaps of the shingles, whose differing bits are never more than the shingles that
-differ, tell that it is below the threshold.  Each bucket is compared with one head first, crowded ones with a few more, so that lines
-alike become one group; then all lines outside a bucket's largest group meet all of the bucket, in cells of bounded size.  Verified
+differ, tell that it is below the threshold.  Each bucket is compared with one head first, so that lines alike become one group; then all
+lines outside a bucket's largest group meet all of the bucket: in crowded buckets within cells of bounded size, the nearest pairs first, so
+that pairs connected by then are not compared; else as rows.  Verified
 links are joined by distributed union-find, and of each component the first line (smallest doc_id, then place) stays.
 
 Scale: a line costs three numbers and twelve short rows in shuffles; texts are read again only for lines in buckets of two and more, and
-for documents that lose a line, told by a bitmap that grows with their number.  Pairs within a cell are rows only if the bitmaps
-cannot tell them apart; the work in cells grows with the square of those lines of a bucket that are outside its largest group.
+for documents that lose a line, told by a bitmap that grows with their number.  Pairs are rows only in buckets with at most CROWD lines outside
+the largest group, so rows grow with the lines; a crowded bucket sends each line to as many cells as it has parts of CELL lines, and comparisons
+within its cells grow with the product of its lines and those outside its largest group.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,10 @@ THRESHOLD = 0.8
 SHINGLE, STEP, WIDE = 8, 4096, 2
 #: Shingles that one row stands for where lines are signed; STEP is a multiple.
 RUN = 8
-#: Longs of a line's bitmap of shingles (PART are made at a time), lines of a bucket on one side of a cell, lines outside the largest group that call for more heads.
-BITMAP, CELL, CROWD = 32, 2000, 50
-#: Heads that all of a crowded bucket meet in one turn, and turns.
-HEADS, TURNS = 6, 1
-PART = 4
+#: Longs of a line's bitmap of shingles (PART are made at a time), and lines outside a bucket's largest group that make it crowded.
+BITMAP, PART, CROWD = 32, 4, 50
+#: Lines of a crowded bucket on one side of a cell and bytes of their codes, lines whose pairs are looked at together, pairs that are compared together at first.
+CELL, CELL_BYTES, ROWS, TAKE = 512, 1 << 20, 128, 256
 #: Bytes of lines' places that are broadcast.
 SMALL_BYTES = 16 << 20
 #: Pairs that a task compares, while there are not too many tasks.
@@ -176,32 +179,110 @@ def _links(lines: DataFrame, threshold: float) -> DataFrame:
         return written(met.where(_near(threshold)).select("a", "b"))
 
     found = verified(bounded(members.where("line_id <> head").select(F.col("line_id").alias("a"), F.col("head").alias("b"))))
-    members = members.where("n > 2").select("line_id", "band")
     # groups that are not yet whole only leave more to compare
-    for turn in range(TURNS + 1):
-        placed = written(members.join(written(components(found, rounds=3)).toDF("line_id", "group"), "line_id", "left").withColumn("group", F.coalesce("group", "line_id")))
-        sizes = placed.groupBy("band", "group").agg(F.count("*").alias("size"))
-        crowds = sizes.groupBy("band").agg(F.sum("size").alias("n"), F.max(F.struct("size", "group")).alias("main")).select("band", "n", (F.col("n") - F.col("main.size")).alias("strays"), F.col("main.group").alias("main")).where("strays > 0")
-        members = written(placed.join(crowds, "band").withColumn("apart", F.col("group") != F.col("main")))
-        crowded = members.where(F.col("strays") > CROWD)
-        if turn == TURNS or crowded.isEmpty():
-            break
-        by = lambda i: F.min(F.when(F.col("apart"), F.struct(F.xxhash64("line_id", F.lit(i)).alias("hash"), "line_id", "group")))
-        heads = crowded.groupBy("band").agg(F.array(*(by(HEADS * turn + i) for i in range(HEADS))).alias("heads")).select("band", F.explode("heads").alias("head"))
-        met = crowded.join(heads, "band").where(F.col("group") != F.col("head.group"))
-        found = found.unionByName(verified(bounded(met.select(F.col("line_id").alias("a"), F.col("head.line_id").alias("b")))))
-        members = members.select("line_id", "band")
+    members = written(_strays(members.where("n > 2"), found))
+    crowded = members.where(F.col("strays") > CROWD)
+    if not crowded.isEmpty():
+        # crowded buckets are decided as they are; their links leave fewer strays in the others
+        found = found.unionByName(written(_decided(crowded, pool, threshold)))
+        members = written(_strays(members.where(F.col("strays") <= CROWD), found))
     # every line outside the bucket's largest group meets all of the bucket
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    sides = members.select("line_id", "band", "group", "apart", parts.alias("parts")).join(facts, "line_id").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = sides.where("apart").select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "part", "of"))
-    y = sides.select("*", every.alias("of")).withColumn("cell", F.xxhash64("band", "of", "part"))
-    met = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
-    pairs = x.alias("x").join(y.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
+    sides = members.select("line_id", "band", "group", "apart").join(facts, "line_id")
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.group") != F.col("y.group")) & (~F.col("y.apart") | (F.col("x.line_id") < F.col("y.line_id"))) & _near(threshold)
+    pairs = sides.where("apart").alias("x").join(sides.alias("y"), met).select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
     return found.unionByName(verified(written(pairs)))
 
 
+def _strays(members: DataFrame, found: DataFrame) -> DataFrame:
+    """line_id, band, group, n, strays (lines outside the bucket's largest group) and apart (whether the line is one) of the buckets that have strays."""
+    groups = written(components(found, rounds=3)).toDF("line_id", "group")
+    placed = written(members.select("line_id", "band").join(groups, "line_id", "left").withColumn("group", F.coalesce("group", "line_id")))
+    sizes = placed.groupBy("band", "group").agg(F.count("*").alias("size"))
+    crowds = sizes.groupBy("band").agg(F.sum("size").alias("n"), F.max(F.struct("size", "group")).alias("main")).select("band", "n", (F.col("n") - F.col("main.size")).alias("strays"), F.col("main.group").alias("main")).where("strays > 0")
+    return placed.join(crowds, "band").select("line_id", "band", "group", "n", "strays", (F.col("group") != F.col("main")).alias("apart"))
+
+
+def _decided(members: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b of crowded buckets, a forest of each cell: of two lines of a bucket that are alike, links of its cells or groups from before connect them.
+
+    A cell has at most CELL lines a side, fewer if their codes are over CELL_BYTES; it holds texts, not pairs, and pairs of lines that links connect already are not compared.
+    """
+    held = members.join(pool, "line_id")
+    room = members.join(pool.select("line_id", F.octet_length("code").cast("long").alias("bytes")), "line_id").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int").alias("parts"))
+    sides = held.join(room, "band").withColumn("part", F.pmod(F.xxhash64("line_id", F.lit(7)), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = sides.where("apart").select("*", every.alias("of"), F.lit(True).alias("left")).withColumn("cell", F.xxhash64("band", "part", "of"))
+    # of a cell whose sides are one part, a line that is apart stands on the left once, and on the right too
+    y = sides.select("*", every.alias("of"), F.lit(False).alias("left")).where("not apart or of <> part").withColumn("cell", F.xxhash64("band", "of", "part"))
+    both = x.unionByName(y).select("cell", "line_id", "group", "apart", "left", (F.col("of") == F.col("part")).alias("own"), "code")
+    return both.groupBy("cell").applyInArrow(lambda cell: _forest(cell, threshold), "a long, b long")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned longs that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sets(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of lines, numbered through: where each line's begin, the sorted distinct numbers line by line, and how many there are."""
+    ends = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1].astype(np.int64) // WIDE
+    units = np.frombuffer(codes.buffers()[2], np.uint8)[: ends[-1] * WIDE].view(np.uint16).astype(np.uint64)
+    four = units[:-3] << np.uint64(48) | units[1:-2] << np.uint64(32) | units[2:-1] << np.uint64(16) | units[3:]
+    n = np.diff(ends) - (SHINGLE - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(n.sum()) + np.repeat(ends[:-1] - (np.cumsum(n) - n), n)
+    values, number = np.unique(_mixed(_mixed(four[place]) + four[place + 4]), return_inverse=True)
+    distinct = np.unique(row * len(values) + number)
+    row, number = np.divmod(distinct, len(values))
+    return np.searchsorted(row, np.arange(len(n) + 1)), number, len(values)
+
+
+def _forest(cell: pa.Table, threshold: float) -> pa.Table:
+    """Links that connect the lines of a cell's two sides as all its links would: pairs go by their bitmaps, the nearest first, and are left out once they are connected."""
+    cell = cell.combine_chunks()
+    ids, group, apart, left, own = (cell.column(c).to_numpy() for c in ("line_id", "group", "apart", "left", "own"))
+    begin, number, values = _sets(pa.concat_arrays(cell.column("code").cast(pa.binary()).chunks))
+    size, label = np.diff(begin), np.unique(group, return_inverse=True)[1]
+    marks = np.zeros((len(ids), 64 * BITMAP), bool)
+    marks[np.repeat(np.arange(len(ids)), size), number % (64 * BITMAP)] = True
+    bits = np.packbits(marks, axis=1).view(np.uint64)
+    first, second = np.flatnonzero(left), np.flatnonzero(~left | own)
+    share, links = (1 - threshold) / (1 + threshold), []
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        def keys(of: np.ndarray) -> np.ndarray:
+            n = size[of]
+            at = np.arange(n.sum()) + np.repeat(begin[of] - (np.cumsum(n) - n), n)
+            return np.repeat(np.arange(len(of)), n) * values + number[at]
+
+        x, y = keys(a), keys(b)
+        found = np.searchsorted(y, x)
+        both = np.bincount(x[(found < len(y)) & (y[np.minimum(found, len(y) - 1)] == x)] // values, minlength=len(a))
+        return both / (size[a] + size[b] - both) >= threshold
+
+    for some in np.split(first, range(ROWS, len(first), ROWS)):
+        far = np.zeros((len(some), len(second)), np.int32)
+        for j in range(BITMAP):
+            far += np.bitwise_count(bits[some, j][:, None] ^ bits[second, j][None, :])
+        bound = (size[some][:, None] + size[second][None, :]) * share + 1e-6
+        x, y = np.nonzero((far <= bound) & (label[some][:, None] != label[second][None, :]) & (~apart[second][None, :] | (ids[some][:, None] < ids[second][None, :])))
+        near = np.argsort(far[x, y] / bound[x, y], kind="stable")
+        a, b, take = some[x[near]], second[y[near]], TAKE
+        while len(a):
+            for i in np.flatnonzero(alike(a[:take], b[:take])):
+                p, q = label[a[i]], label[b[i]]
+                if p != q:
+                    label[label == q] = p
+                    links.append((ids[a[i]], ids[b[i]]))
+            a, b = a[take:], b[take:]
+            open_ = label[a] != label[b]
+            a, b, take = a[open_], b[open_], min(2 * take, 16 * TAKE)
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """key, did, place, line and its hash of every line with a word."""
     lines = rows.select("key", "did", F.posexplode(F.split("text", "\n")).alias("place", "line"))

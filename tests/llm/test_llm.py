@@ -570,6 +570,20 @@ def test_lines_crowded(spark, monkeypatch, cell):
     assert len(want) > 400 and got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_lines_near_copies_make_few_rows(spark, monkeypatch):
+    """Pairs of a large group of near copies around the threshold are compared, but not made rows: of its links one forest a cell is left."""
+    rng = random.Random(26)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    template = "The shop is open on all days of the week from nine to six, and on request also later; our number is "
+    texts = [template + "".join(rng.choices(letters, k=rng.randint(9, 18))) for _ in range(500)]
+    rows, own = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df: (out := own(df), rows.append(out.count()) if df.columns == ["a", "b"] else None)[0])
+    want = brute_lines(texts)
+    got = removed_lines(spark, texts)
+    assert 100 < len(want) < len(texts) - 1 and got <= want and len(want - got) <= 0.01 * len(want)
+    assert max(rows) <= 12 * len(texts), rows
+
+
 # -- archives --------------------------------------------------------------------------------------------------------
 
 
