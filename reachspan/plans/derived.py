@@ -9,7 +9,7 @@ from reachspan.functions import ranges as R
 from reachspan.functions.indexing import numbered
 from reachspan.matrix import BoolMatrix
 from reachspan.operators.graph import Graph
-from reachspan.runtime import cut, parts_for
+from reachspan.runtime import TASK_ROWS, cut, parts_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_matrix(spark: SparkSession, sf_dir: str) -> BoolMatrix:
     """Each event leads to the next event of its user and to the next of its type, by time and id."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    following = lambda by: F.lead("event_id").over(Window.partitionBy(by).orderBy("ts", "event_id"))
-    steps = events.select("event_id", F.array(following("user_id"), following("event_type")).alias("next"))
-    n = events.agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).alias("n")).first().n
-    cells = steps.select(F.col("event_id").alias("row"), F.explode("next").alias("col")).where("col is not null").distinct()
-    return BoolMatrix(cut(cells), n, n, "basic", True, bound=2)
+    size = events.agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).alias("n"), F.count("*").alias("events")).first()
+    # there are few types, so that a window over one would be a task that grows with the events
+    steps = following(events, "user_id").unionByName(following(events, "event_type", size.events))
+    cells = steps.select(F.col("event_id").alias("row"), F.col("next").alias("col")).where("col is not null").distinct()
+    return BoolMatrix(cut(cells), size.n, size.n, "basic", True, bound=2)
+
+
+def following(events: DataFrame, by: str, rows: int = 0, most: int = TASK_ROWS) -> DataFrame:
+    """event_id, next: the event that follows by time and id among those with the same value of a column, null where there is none.
+
+    rows: how many events there are, for a column of few values; more than `most` are dealt to tasks by ranges of (value, time, id), and the last event of a range looks at the first one of the next.
+    """
+    if rows <= most:
+        return events.select("event_id", F.lead("event_id").over(Window.partitionBy(by).orderBy("ts", "event_id")).alias("next"))
+    order, place = [by, "ts", "event_id"], F.struct(by, "event_id")
+    dealt = cut(events.select(*order).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    firsts = dealt.groupBy("_part").agg(F.min(F.struct(*order)).alias("first")).select("_part", F.struct(f"first.{by}", "first.event_id").alias("first"))
+    after = firsts.select("_part", F.lead("first").over(Window.orderBy("_part")).alias("_after"))
+    ranges = dealt.repartition(parts_for(events.sparkSession, rows), "_part")
+    own = ranges.withColumn("_then", F.lead(place).over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(after), "_part")
+    then = own.select("event_id", by, F.coalesce("_then", "_after").alias("_then"))
+    return then.select("event_id", F.when(F.col(by).eqNullSafe(F.col(f"_then.{by}")), F.col("_then.event_id")).alias("next"))
 
 
 def orders_parts(spark: SparkSession, sf_dir: str) -> BoolMatrix:

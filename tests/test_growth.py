@@ -100,3 +100,14 @@ def test_buckets_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(runtime, "TASK_ROWS", 500)
     assert queries.QUERIES["lookup_stored_buckets"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert asked[0] > 8
+
+
+def test_following_by_ranges(spark):
+    """Events of one type are many tasks' work, with the same result as a window over each type; null types and ranges of one event too."""
+    rng = random.Random(5)
+    events = spark.createDataFrame([(i, rng.randint(0, 400), rng.choice(["a", "a", "b", None])) for i in range(3000)] + [(3000, 1, "z")], "event_id long, ts long, event_type string")
+    want = sorted(tuple(r) for r in derived.following(events, "event_type").collect())
+    dealt = derived.following(events, "event_type", 3001, 100)
+    assert sorted((tuple(r) for r in dealt.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert "hashpartitioning(event_type" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert derived.following(events.limit(0), "event_type", 3001, 100).count() == 0
