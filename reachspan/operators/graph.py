@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reachspan.functions.indexing import numbered
 from reachspan.functions.ranges import prefix_sum, to_ranges
 from reachspan.matrix import BoolMatrix
-from reachspan.operators.ordering import cuthill_mckee, min_breaks, topological
+from reachspan.operators.ordering import cuthill_mckee, min_breaks, topological, wide
 from reachspan.runtime import cut, parts_for
 
 
@@ -27,7 +27,7 @@ class Graph:
 def _ranked(graph: Graph) -> DataFrame:
     """Distinct edges by rank; orientation is not kept, an edge leads from the end of src to the start of dst."""
     first, second = graph.nodes.select(F.col("id").alias("src"), F.col("rank").alias("a")), graph.nodes.select(F.col("id").alias("dst"), F.col("rank").alias("b"))
-    return graph.edges.select("src", "dst").distinct().join(first, "src").join(second, "dst").select("a", "b")
+    return graph.edges.select("src", "dst").distinct().join(wide(first), "src").join(wide(second), "dst").select("a", "b")
 
 
 def _range(graph: Graph, lower: int, upper: int) -> DataFrame:
@@ -145,12 +145,13 @@ def order_nodes(graph: Graph, ordering: str = "min-breaks", seed: int = 1) -> Gr
     if ordering == "random":
         new = numbered(graph.nodes.select("id", F.struct(F.xxhash64("id", F.lit(seed)), "id").alias("_order")), "_order", "_new").select("id", "_new")
     elif ordering in _ORDERS:
-        ranks = cut(graph.nodes.select("id", "rank"))
-        placed = _ORDERS[ordering](ranks.select("rank"), cut(_ranked(graph)))
-        new = ranks.join(placed, "rank").select("id", F.col("place").alias("_new"))
+        # ids may follow the edges where ranks do not
+        ranks = cut(graph.nodes.select("rank", F.col("id").alias("hint")))
+        placed = _ORDERS[ordering](ranks, cut(_ranked(graph)))
+        new = ranks.join(wide(placed), "rank").select(F.col("hint").alias("id"), F.col("place").alias("_new"))
     else:
         raise ValueError(f"unknown ordering {ordering!r}")
-    return Graph(graph.nodes.drop("rank").join(new, "id").select(F.col("_new").alias("rank"), "id", "name", "len"), graph.edges, graph.paths)
+    return Graph(graph.nodes.drop("rank").join(wide(new), "id").select(F.col("_new").alias("rank"), "id", "name", "len"), graph.edges, graph.paths)
 
 
 _ORDERS = {"topological": topological, "min-breaks": min_breaks, "cuthill-mckee": cuthill_mckee}

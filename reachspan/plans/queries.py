@@ -14,8 +14,9 @@ from reachspan.functions import ranges as R
 from reachspan.operators import algebra as A
 from reachspan.operators import dindex as D
 from reachspan.operators import graph as G
+from reachspan.operators.ordering import wide
 from reachspan.plans import derived
-from reachspan.runtime import checkpoint_folder, parts_for
+from reachspan.runtime import checkpoint_folder, cut, parts_for
 from reachspan.sources import generate, gfa, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,27 +588,23 @@ def product_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nnz(A.multiply(a, a)).select(F.col("nnz").alias("cells"), (F.abs(F.col("nnz") - about) * 20 <= F.col("nnz")).alias("near"))
 
 
-def _placed_edges(g: G.Graph, o: G.Graph) -> DataFrame:
-    """Edges of a graph with both ranks in another order, a and b, and in its own, x and y."""
-    new, old = o.nodes.select("id", "rank"), g.nodes.select("id", "rank")
-    return g.edges.join(new.toDF("src", "a"), "src").join(new.toDF("dst", "b"), "dst").join(old.toDF("src", "x"), "src").join(old.toDF("dst", "y"), "dst")
+def _placed_edges(g: G.Graph, o: G.Graph) -> tuple[DataFrame, int]:
+    """Edges of a graph with both ranks in another order, a and b, and in its own, x and y; and how many ranks the other has, if they are whole from 1."""
+    ranks = cut(o.nodes.select("id", F.col("rank").alias("new")).join(wide(g.nodes.select("id", F.col("rank").alias("old"))), "id"))
+    edges = g.edges.join(wide(ranks.toDF("src", "a", "x")), "src").join(wide(ranks.toDF("dst", "b", "y")), "dst")
+    n = ranks.agg(F.min("new").alias("a"), F.max("new").alias("b"), F.count_distinct("new").alias("n")).first()
+    return edges, n.n if (n.a, n.b) == (1, n.n) else -1
 
 
 _WHOLE = "(SELECT count(*) FROM events) AS ranks"
 
 
-def _ranks(o: G.Graph) -> int:
-    """How many ranks there are, if they are whole from 1."""
-    n = o.nodes.agg(F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_distinct("rank").alias("n")).first()
-    return n.n if (n.a, n.b) == (1, n.n) else -1
-
-
 @_query(f'WITH {_EVENTS} SELECT "row" + 1 AS src, col + 1 AS dst, true AS forward, {_WHOLE} FROM a')
 def order_topological_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step between events leads forward, though their ranks were by type."""
     g = derived.events_graph(spark, sf_dir)
-    o = G.order_nodes(g, "topological")
-    return _placed_edges(g, o).select("src", "dst", (F.col("a") < F.col("b")).alias("forward"), F.lit(_ranks(o)).cast("long").alias("ranks"))
+    placed, ranks = _placed_edges(g, G.order_nodes(g, "topological"))
+    return placed.select("src", "dst", (F.col("a") < F.col("b")).alias("forward"), F.lit(ranks).cast("long").alias("ranks"))
 
 
 @_query(f"""WITH {_EVENTS}, o AS (SELECT "row" FROM a GROUP BY 1 HAVING count(*) = 1), i AS (SELECT col FROM a GROUP BY 1 HAVING count(*) = 1)
@@ -615,13 +612,12 @@ SELECT count(*) AS edges, count(*) FILTER (WHERE "row" IN (SELECT "row" FROM o)
 def order_min_breaks_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that are the only way out and the only way in lead to the next rank; all lead forward."""
     g = derived.events_graph(spark, sf_dir)
-    o = G.order_nodes(g, "min-breaks")
-    placed = _placed_edges(g, o)
+    placed, ranks = _placed_edges(g, G.order_nodes(g, "min-breaks"))
     out, into = placed.groupBy("src").agg(F.count("*").alias("n_out")), placed.groupBy("dst").agg(F.count("*").alias("n_in"))
-    told = placed.join(out, "src").join(into, "dst").withColumn("single", (F.col("n_out") == 1) & (F.col("n_in") == 1))
+    told = placed.join(wide(out), "src").join(wide(into), "dst").withColumn("single", (F.col("n_out") == 1) & (F.col("n_in") == 1))
     return told.agg(
         F.count("*").alias("edges"), F.count_if("single").alias("single"), F.bool_and(F.col("a") < F.col("b")).alias("forward"),
-        F.coalesce(F.bool_and(F.when(F.col("single"), F.col("b") == F.col("a") + 1)), F.lit(True)).alias("together"), F.lit(_ranks(o)).cast("long").alias("ranks"),
+        F.coalesce(F.bool_and(F.when(F.col("single"), F.col("b") == F.col("a") + 1)), F.lit(True)).alias("together"), F.lit(ranks).cast("long").alias("ranks"),
     )
 
 
@@ -629,9 +625,9 @@ def order_min_breaks_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cuthill_mckee_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest distance of an edge's ranks is smaller than by type."""
     g = derived.events_graph(spark, sf_dir)
-    o = G.order_nodes(g, "cuthill-mckee")
+    placed, ranks = _placed_edges(g, G.order_nodes(g, "cuthill-mckee"))
     far = lambda p, q: F.max(F.abs(F.col(p) - F.col(q)))
-    return _placed_edges(g, o).agg(F.count("*").alias("edges"), (far("a", "b") < far("x", "y")).alias("narrower"), F.lit(_ranks(o)).cast("long").alias("ranks"))
+    return placed.agg(F.count("*").alias("edges"), (far("a", "b") < far("x", "y")).alias("narrower"), F.lit(ranks).cast("long").alias("ranks"))
 
 
 @_query(f"WITH {_CELLS} SELECT l_orderkey AS i, l_partkey + l_linenumber % 2 AS j, EXISTS (SELECT 1 FROM cells WHERE \"row\" = l_orderkey AND col = l_partkey + l_linenumber % 2) AS hit FROM lineitem")
