@@ -146,7 +146,8 @@ DEPTH_ROUNDS = 48
 def by_depth(nodes: DataFrame, edges: DataFrame, bits: int) -> tuple[DataFrame, DataFrame] | None:
     """An order of nodes in which no edge leads back further than to the window before: (rank, place) and the edges by rank and place (a, b, _x, _y); nothing, if no edge (a, b) leads back to an earlier block of ranks.
 
-    Nodes may have a `hint`, another number that could be such an order; it is where to begin, if fewer edges lead back by it than by rank.  Each round takes, block by block, the longest paths within blocks
+    Nodes may have a `hint`, another number that could be such an order; it is where to begin, if fewer edges lead back by it than by rank.  If many do, every node first follows those that come from the most
+    distant places to their beginning, and nodes are placed by the steps, if that is better.  Each round takes, block by block, the longest paths within blocks
     from what is known of the depths outside; every node then follows the path that it has chosen, over all blocks, to its
     beginning (`followed`), which gives it the depth on that path, and nodes are placed anew by depth.  Depths only grow, up to the longest path's.  It ends when hardly an edge leads back, when paths run into
     a ring, or after DEPTH_ROUNDS.
@@ -162,8 +163,19 @@ def by_depth(nodes: DataFrame, edges: DataFrame, bits: int) -> tuple[DataFrame,
         by_hint = cut(_told(edges, hinted))
         if by_hint.where(block("_x") > block("_y")).count() < back:
             placed, told = hinted, by_hint
+    leads_back = lambda told: told.where(window("_x") > window("_y") + 1)
+    if far := leads_back(told).count():
+        # paths within blocks are found below; here those whose every step leaves its block, as in tables that are put together of alike ones
+        links = told.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct(F.abs(F.col("_x") - F.col("_y")), "a")).alias("next"))
+        deep = _depths(cut(links.withColumn("steps", zero + 1)))
+        if deep is not None:
+            order = nodes.select("rank").join(wide(deep.toDF("rank", "depth")), "rank", "left").select("rank", F.coalesce("depth", zero).alias("depth"))
+            by_steps = cut(numbered(order.withColumn("_order", F.struct("depth", "rank")), "_order", "place").select("rank", "depth", "place"))
+            told_so = cut(_told(edges, by_steps))
+            if leads_back(told_so).count() < far:
+                placed, told = by_steps, told_so
     for _ in range(DEPTH_ROUNDS):
-        if told.where(window("_x") > window("_y") + 1).isEmpty():
+        if leads_back(told).isEmpty():
             break
         crossing = block("_x") != block("_y")
         entries = told.where(crossing).groupBy(F.col("b").alias("rank")).agg(F.max(F.struct(F.col("_depth").alias("d"), F.col("a").alias("a"))).alias("_in"))
@@ -182,6 +194,28 @@ def by_depth(nodes: DataFrame, edges: DataFrame, bits: int) -> tuple[DataFrame,
     return placed.select("rank", "place"), told.select("a", "b", "_x", "_y")
 
 
+#: One of so many nodes, by hash, at which following stops first; the links between them are followed next.
+STOPS = 16
+
+
+def _depths(links: DataFrame, turn: int = 0) -> DataFrame | None:
+    """node, steps to the end of the links (node, next, steps) of each; nothing, if some run into a ring."""
+    if links.count() <= SMALL:
+        ends = cut(followed(links))
+        return ends.select("node", "steps") if ends.where("ring").isEmpty() else None
+    stop = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(STOPS)) == 0  # others in each turn
+    ends = cut(followed(links.where(~stop)))
+    if not ends.where("ring").isEmpty():
+        return None
+    on = ends.select(F.col("node").alias("next"), "last", F.col("steps").alias("_steps"))
+    between = links.where(stop).join(wide(on), "next", "left").select("node", F.coalesce("last", "next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+    further = _depths(cut(between), turn + 1)
+    if further is None:
+        return None
+    then = further.select(F.col("node").alias("last"), F.col("steps").alias("_steps"))
+    return further.unionByName(cut(ends.join(wide(then), "last", "left").select("node", (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))))
+
+
 def _told(edges: DataFrame, placed: DataFrame) -> DataFrame:
     """Edges (a, b) with a's depth and both places."""
     a, b = placed.select(F.col("rank").alias("a"), F.col("depth").alias("_depth"), F.col("place").alias("_x")), placed.select(F.col("rank").alias("b"), F.col("place").alias("_y"))
