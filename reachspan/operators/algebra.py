@@ -195,16 +195,20 @@ def shift(m: BoolMatrix, rows: int, cols: int) -> DataFrame:
 
 def from_blocks(nrows: int, ncols: int, blocks: Iterable[tuple[BoolMatrix, int, int]], encoding: str = "ranges") -> BoolMatrix:
     """A matrix of blocks (matrix, first row, first column) that do not overlap, in any order; all else is false."""
-    parts = []
+    parts, bound, ranges = [], 0, None
     for m, row, col in blocks:
         if row < 0 or col < 0 or row + m.nrows > nrows or col + m.ncols > ncols:
             raise ValueError("a block reaches beyond the matrix")
         parts.append(shift(m.to_basic() if encoding == "basic" else m.to_ranges(), row, col))
+        bound += m.most_cells()
+        ranges = None if m.ranges is None else shift(m.to_ranges(), row, col)
     if not parts:
         raise ValueError("there are no blocks")
+    if encoding != "basic" or len(parts) > 1:
+        ranges = None
     while len(parts) > 1:  # pairwise, so that the plan stays shallow
         parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
-    return BoolMatrix(parts[0], nrows, ncols, encoding)
+    return BoolMatrix(parts[0], nrows, ncols, encoding, bound=min(bound, ncols), ranges=ranges)
 
 
 def from_provider(corners: DataFrame, provider: Callable[..., Iterable[tuple[int, int, int]]], nrows: int, ncols: int) -> BoolMatrix:
@@ -227,9 +231,9 @@ def from_provider(corners: DataFrame, provider: Callable[..., Iterable[tuple[int
     return BoolMatrix(blocks.select("row", "lo", "hi"), nrows, ncols, "ranges")
 
 
-def from_cells(df: DataFrame, nrows: int, ncols: int, row: str = "row", col: str = "col") -> BoolMatrix:
-    """A matrix of any table of cells; repeated cells count once, cells outside of the shape are an error when it runs."""
+def from_cells(df: DataFrame, nrows: int, ncols: int, row: str = "row", col: str = "col", bound: int | None = None) -> BoolMatrix:
+    """A matrix of any table of cells, of which a row has at most `bound`, if that is known; repeated cells count once, cells outside of the shape are an error when it runs."""
     cells = df.select(F.col(row).cast("long").alias("row"), F.col(col).cast("long").alias("col")).where("row is not null and col is not null")
     inside = (F.col("row").between(0, nrows - 1)) & (F.col("col").between(0, ncols - 1))
     checked = cells.select("col", F.when(inside, F.col("row")).otherwise(F.raise_error(F.lit("a cell lies outside of the matrix")).cast("long")).alias("row"))
-    return BoolMatrix(checked.distinct(), nrows, ncols, "basic")
+    return BoolMatrix(checked.distinct(), nrows, ncols, "basic", bound=bound)

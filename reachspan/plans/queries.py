@@ -483,7 +483,7 @@ def equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix and its other encoding are equal; with one more cell, or with another shape, they are not."""
     m = derived.orders_parts(spark, sf_dir)
     larger = A.from_blocks(m.nrows + 1, m.ncols, [(m, 0, 0)], "basic")
-    more = A.add(larger, A.from_cells(spark.createDataFrame([(m.nrows, 0)], "row long, col long"), m.nrows + 1, m.ncols))
+    more = A.add(larger, A.from_cells(spark.createDataFrame([(m.nrows, 0)], "row long, col long"), m.nrows + 1, m.ncols, bound=1))
     return spark.createDataFrame([(m.equals(m.to_ranges()), larger.equals(more), m.equals(larger))], "same boolean, other boolean, shape boolean")
 
 
